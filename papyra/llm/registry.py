@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from papyra.llm import tokens
+from papyra.llm import leaks, tokens, urls
 
 QUERIES = {
     "op2_token_counts": tokens.op2_token_counts,
+    "op8_benchmark_decontamination": leaks.op8_benchmark_decontamination,
+    "op9_url_filters": urls.op9_url_filters,
+}
+ORACLES: dict[str, str] = {
+    "op9_url_filters": urls.oracle(),
 }
-ORACLES: dict[str, str] = {}
