@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from papyra.llm import leaks, tokens, urls
+from papyra.llm import leaks, tokens, toxicity, urls
 
 QUERIES = {
     "op2_token_counts": tokens.op2_token_counts,
     "op8_benchmark_decontamination": leaks.op8_benchmark_decontamination,
     "op9_url_filters": urls.op9_url_filters,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op9_url_filters": urls.oracle(),
