@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from papyra.llm.store import small_batches
 from papyra.llm.words import SPACE_WORDS, Words, mix
 
-BITS = 18
+BITS = 20
 PREFIXES = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 
@@ -38,11 +38,20 @@ def features(w: Words) -> list[np.ndarray]:
     return [(h >> np.uint64(64 - BITS)).astype(np.int32) for h in kinds]
 
 
+def again(col: np.ndarray) -> np.ndarray:
+    """The column that says that a text has this column's feature at least twice."""
+    return (mix(col.astype(np.uint64) + np.uint64(1 << BITS)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
 def columns_of(text: pa.Array) -> list[np.ndarray]:
     """The distinct columns of each text."""
     w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
     kinds = features(w)
-    return [np.unique(np.concatenate([k[w.first[d] : w.first[d + 1]] for k in kinds])) for d in range(len(w))]
+    out = []
+    for d in range(len(w)):
+        cols, n = np.unique(np.concatenate([k[w.first[d] : w.first[d + 1]] for k in kinds]), return_counts=True)
+        out.append(np.unique(np.concatenate([cols, again(cols[n >= 2])])))
+    return out
 
 
 def _sums(weight: np.ndarray, cols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -60,8 +69,11 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), first
 
 
-def telling(positive: list[np.ndarray], others: list[np.ndarray], ratio: float = 2.5, evidence: float = 20.0) -> np.ndarray:
-    """Columns that confirmed rows have at least ratio times as often as others, with that log-likelihood ratio."""
+def telling(positive: list[np.ndarray], others: list[np.ndarray], ratio: float = 2.5, margin: float = 4.0) -> np.ndarray:
+    """Columns that confirmed rows have at least ratio times as often as others.
+
+    Their log-likelihood ratio must exceed what the best of so many columns has by chance by margin.
+    """
     k, u = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for side, rows in ((k, positive), (u, others)):
         for r in rows:
@@ -71,7 +83,7 @@ def telling(positive: list[np.ndarray], others: list[np.ndarray], ratio: float =
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (k * np.log(np.where(k > 0, k / (n * share), 1)) + u * np.log(np.where(u > 0, u / (n * (1 - share)), 1)))
         often = k / max(1, len(positive)) >= ratio * u / max(1, len(others))
-    return (k > 0) & often & (g >= evidence)
+    return (k > 0) & often & (g >= margin + 2 * np.log(max(1, np.count_nonzero(n))))
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, confirmed: list[bool] | None = None, epochs: int = 40, batches: int = 16, rate: float = 0.05, l1: float = 0.01, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -116,8 +128,22 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return weight, b
 
 
+def spread(rows: list[np.ndarray]) -> list[int]:
+    """Positions of rows that aren't near copies of an earlier one, by the two smallest hashes of their columns.
+
+    Copies of one text would make all of its words look telling.
+    """
+    seen, out = set(), []
+    for i, r in enumerate(rows):
+        key = tuple(np.sort(mix(r.astype(np.uint64)))[:2].tolist())
+        if key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
 def calibrated(model: tuple[np.ndarray, float], positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
-    """The model with its bias moved so that 0.5 is where the F0.5 estimated from rows not fitted is best.
+    """The model with its bias moved so that 0.5 is where the F1 estimated from rows not fitted is best.
 
     From positive and unlabelled rows: recall is the positives' share above, and precision is
     prior * recall over the unlabelled rows' share above.
@@ -133,28 +159,35 @@ def calibrated(model: tuple[np.ndarray, float], positive: list[np.ndarray], unla
         return model
     recall = 1 - np.searchsorted(gp, cuts) / len(gp)
     above = np.maximum(1 - np.searchsorted(gu, cuts) / len(gu), prior * recall)
-    # F0.5 weighs precision twice: clean documents are to be left alone
-    f = 1.25 * prior * recall / (0.25 * prior + above)
-    best = np.flatnonzero(f >= f.max() - 1e-12)
-    return weight, bias - float(cuts[best[len(best) // 2]])
+    f = 2 * prior * recall / (prior + above)
+    best = np.flatnonzero(f >= f.max() - 1e-12)  # of cuts that are as good the one that takes least
+    return weight, bias - float(cuts[best[-1]])
 
 
 def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], confirmed: list[bool], prior: float) -> tuple[np.ndarray, float]:
-    """Train on three quarters of the rows and calibrate on the rest."""
+    """Train on three quarters of the rows, near copies left out, and calibrate on the rest."""
+    positive = [positive[i] for i in spread(positive)]
+    few = spread(unlabelled)
+    unlabelled, confirmed = [unlabelled[i] for i in few], [confirmed[i] for i in few]
     part = lambda rows, here: [r for k, r in enumerate(rows) if (k % 4 == 3) is here]
     model = train(part(positive, False), part(unlabelled, False), prior, part(confirmed, False))
     return calibrated(model, part(positive, True), part(unlabelled, True), prior)
 
 
 def score_batch(text: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
-    """A column counts once a text."""
+    """The model's probability for each text; equals the sum over columns_of(text), columns without weight passed over."""
     w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
+    used = weight != 0
+    used |= used[again(np.arange(1 << BITS))]
     doc, cols = [], []
     for k in features(w):
-        at = np.flatnonzero(weight[k])
+        at = np.flatnonzero(used[k])
         cols.append(k[at])
         doc.append(np.searchsorted(w.first, at, side="right") - 1)
-    key = np.unique(np.concatenate(doc).astype(np.int64) << np.int64(BITS) | np.concatenate(cols))
+    key, n = np.unique(np.concatenate(doc).astype(np.int64) << np.int64(BITS) | np.concatenate(cols), return_counts=True)
+    twice = key[n >= 2]
+    twice = twice >> BITS << BITS | again(twice & ((1 << BITS) - 1))
+    key = np.unique(np.concatenate([key, twice]))
     total = np.bincount(key >> BITS, weight[key & ((1 << BITS) - 1)].astype(np.float64), len(w))
     return _sigmoid(total + bias)
 
