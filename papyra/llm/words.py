@@ -176,9 +176,9 @@ def shingles(words: Words, k: int):
         if hi - lo >= k:
             yield np.unique(full[lo : hi - k + 1])
         elif hi > lo:
-            x = h[lo]
-            for y in h[lo + 1 : hi]:
-                x = mix(np.array([x * np.uint64(0x9E3779B97F4A7C15) + y], np.uint64))[0]
-            yield mix(np.array([x ^ np.uint64(hi - lo)], np.uint64))
+            x = h[lo : lo + 1].copy()
+            for i in range(lo + 1, hi):
+                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + 1])
+            yield mix(x ^ np.uint64(hi - lo))
         else:
             yield np.zeros(0, np.uint64)
