@@ -12,9 +12,12 @@ computed; all others are below the size-derived bound. How many blocks there are
 whose ends differ by the threshold; a row takes part in its own range and in the next one.
 
 Cells are computed in two rounds. First every row of a block value meets one pivot, the smallest of its rows, which makes
-one class of most near copies. Then rows that share a block value but are not yet connected meet each other; cells
-between rows that are connected already can't change a component and are left out. Overlap counts come from
-the rows themselves, so every accepted link is exact (up to equal 64-bit hashes).
+one class of most near copies. Block values whose rows are all connected by then can't change a component and are left
+out. Of the others, values of at most ``FEW`` rows give their cells one by one, and larger ones give tiles: their rows are packed
+into row blocks of bounded count and bytes, two row blocks that share a value are one tile, and a tile's product is
+accumulated over column blocks until every cell is decided, with cells that can't reach their bound
+discarded on the way. A tile returns a spanning forest of its links, so no group is written out as pairs. Overlap counts come
+from the rows themselves, so every accepted link is exact (up to equal 64-bit hashes).
 
 Components are found by contraction: every node that has a smaller neighbour joins the smallest such, chains are
 shortened by doubling, and the edges between what is left are contracted again. All tables stay distributed.
@@ -34,6 +37,8 @@ from papyra.llm.store import cut, small_batches
 from papyra.llm.words import SPACE_WORDS, Words, mix, shingles
 
 WORDS, PERCENT = 5, 80
+#: Rows of a block value from which on it is worked on in tiles; rows and bytes of a row block; columns of a column block.
+FEW, TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 16, 256, 8 << 20, 2048
 _SHIFT = np.uint64(32)
 
 
@@ -128,9 +133,84 @@ def links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return cells.join(a, "a").join(b, "b").where(F.arrow_udf(run, "boolean")("left", "right")).select("a", "b")
 
 
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which cells of left x right reach the threshold."""
+    na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    need = -(-percent * (na[:, None] + nb[None, :]) // (100 + percent))
+    la, lb = np.repeat(np.arange(len(left)), na), np.repeat(np.arange(len(right)), nb)
+    ga, gb = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(ga, gb)
+    if not len(both):
+        return np.zeros(need.shape, bool)
+
+    def columns(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, g), len(both) - 1)
+        at, r = at[both[at] == g], r[both[at] == g]
+        order = np.argsort(at, kind="stable")
+        return at[order], r[order]
+
+    (ca, ra), (cb, rb) = columns(ga, la), columns(gb, lb)
+    rest_a, rest_b = np.bincount(ra, minlength=len(left)), np.bincount(rb, minlength=len(right))
+    overlap = np.zeros(need.shape)
+    for lo in range(0, len(both), TILE_COLUMNS):
+        if not (overlap + np.minimum(rest_a[:, None], rest_b[None, :]) >= need).any():
+            break
+        a, b = np.zeros((len(left), TILE_COLUMNS), np.float32), np.zeros((len(right), TILE_COLUMNS), np.float32)
+        for m, c, r, rest in ((a, ca, ra, rest_a), (b, cb, rb, rest_b)):
+            x, y = np.searchsorted(c, [lo, lo + TILE_COLUMNS])
+            m[r[x:y], c[x:y] - lo] = 1
+            rest -= np.bincount(r[x:y], minlength=len(rest))
+        overlap += a @ b.T
+    return overlap >= need
+
+
+def forest(names: list[int], more: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between names (rows) and more (columns)."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked):
+        a, b = top(names[i]), top(more[j])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((names[i], more[j]))
+    return out
+
+
+def dense_links(known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect whatever the values of known (value, node) with more than FEW rows can connect."""
+    star = known.groupBy("value").agg(F.min("node").alias("b"))
+    cluster = components(known.join(star, "value").select(F.col("node").alias("a"), "b").distinct())
+    sized = rows.join(cluster, "node").withColumn("bytes", F.length("grams"))
+    many = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("bytes") / F.lit(TILE_BYTES))).alias("many"))
+    place = F.struct("comp", F.pmod(F.xxhash64("node"), F.col("many")).alias("k"))
+    placed = cut(cluster.join(many, "comp").select("node", place.alias("place")), "placed")
+    packs = cut(rows.join(placed, "node").groupBy("place").agg(F.collect_list("node").alias("nodes"), F.collect_list("grams").alias("rows")), "packs")
+    met = known.join(placed, "node").select("value", "place").distinct()
+    tiles = met.toDF("value", "p").join(met.toDF("value", "q"), "value").where("p >= q").select("p", "q").distinct()
+
+    def run(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for names, left, more, right in zip(a.to_pylist(), x, b.to_pylist(), y, strict=True):
+            sets = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side] for side in (left, right)]
+            out.append([{"a": u, "b": v} for u, v in forest(names, more, tile_links(*sets, percent))])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    made = F.arrow_udf(run, "array<struct<a:long,b:long>>")
+    out = tiles.join(packs.toDF("p", "a", "x"), "p").join(packs.toDF("q", "b", "y"), "q")
+    return out.select(F.inline(made("a", "x", "b", "y")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp for each node of the edges (a, b)."""
-    names, rest = None, cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rest = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    names = rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("comp"))
     while not rest.isEmpty():
         up = cut(rest.groupBy("a").agg(F.min("b").alias("up")).toDF("node", "up"), "up")
         while True:
@@ -138,15 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
             if up.join(above, "up", "left_semi").isEmpty():
                 break
             up = cut(up.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up")), "up")
-        tops = up.select(F.col("up").alias("node"), F.col("up").alias("comp")).distinct()
-        step = up.toDF("node", "comp").union(tops)
-        if names is None:
-            names = cut(step, "comp")
-        else:
-            names = names.join(up.toDF("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-            names = cut(names, "comp")
+        names = names.join(up.toDF("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        names = cut(names, "comp")
         rest = cut(_raised(_raised(rest, up).toDF("b", "a"), up).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0) if names is None else names
+    return names
 
 
 def _raised(edges: DataFrame, up: DataFrame) -> DataFrame:
@@ -168,12 +243,16 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_c
     found = cut(links(first, rows, percent), "links")
     comp = components(found)
     known = shared.select("value", "node").join(comp, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
-    open_values = known.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value")
+    open_values = known.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("value", "size")
     known = cut(known.join(open_values, "value"), "open")
-    x, y = known.toDF("value", "a", "ca"), known.toDF("value", "b", "cb")
+    few = known.where(F.col("size") <= FEW).select("value", "node", "comp")
+    x, y = few.toDF("value", "a", "ca"), few.toDF("value", "b", "cb")
     cells = x.join(y, "value").where("a > b and ca <> cb").select("a", "b").distinct()
     cells = cut(cells.join(first, ["a", "b"], "left_anti"), "cells")
     more = cut(links(cells, rows, percent), "links")
+    dense = known.where(F.col("size") > FEW).select("value", "node")
+    if not dense.isEmpty():
+        more = cut(more.union(dense_links(dense, rows, percent)), "links")
     if not more.isEmpty():
         comp = components(found.union(more))
     least = classes.join(comp, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
