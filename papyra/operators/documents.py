@@ -1,0 +1,105 @@
+"""Document values read through masks: observations, mask selection, projections and metrics.
+
+Observations are an unpivot of ``orders`` (one document an order, one row an element); masks are a few typed literals.
+Of a tenant's masks exactly one is active: its own before the vendor's (tenant null), then mask id and version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: mask_id, tenant_id (null: vendor), element_id, semantic_role, section_path
+MASK_ENTRIES = [
+    ("mask_vendor", None, "number", "order_number", "head"),
+    ("mask_vendor", None, "total", "total_amount", "body.sums"),
+    ("mask_vendor", None, "status", "status_code", "body.state"),
+    ("mask_t1", "t-1", "number", "order_no", "head"),
+    ("mask_t1", "t-1", "total", "amount_due", "body.sums"),
+    ("mask_t2", "t-2", "priority", "urgency", "body.state"),
+]
+TENANTS = ["t-0", "t-1", "t-2", "t-3", "t-4"]
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, tenant_id, element_id, state, value: value is null unless the state is present."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    values = F.expr("stack(4, 'number', cast(o_orderkey as string), 'total', cast(cast(o_totalprice as bigint) as string), 'status', o_orderstatus, 'priority', o_orderpriority) as (element_id, raw)")
+    key = F.col("o_orderkey")
+    state = F.when(key % 11 == 0, "empty").when(key % 13 == 0, "unreadable").when(key % 17 == 0, "not_found").otherwise("present")
+    rows = rows.select("o_orderkey", F.concat(F.lit("doc_"), key).alias("document_id"), F.concat(F.lit("t-"), F.col("c_nationkey") % 5).alias("tenant_id"), state.alias("state"), values)
+    return rows.select("document_id", "tenant_id", "element_id", "state", F.when(F.col("state") == "present", F.col("raw")).alias("value"))
+
+
+def mask_entries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MASK_ENTRIES, "mask_id string, mask_tenant string, element_id string, semantic_role string, section_path string")
+
+
+def active_masks(spark: SparkSession) -> DataFrame:
+    """tenant_id, mask_id: the one mask that each tenant reads through."""
+    tenants = spark.createDataFrame([(t,) for t in TENANTS], "tenant_id string")
+    masks = mask_entries(spark).select("mask_id", "mask_tenant").distinct()
+    # both sides are the literals above
+    fit = tenants.join(F.broadcast(masks), F.col("mask_tenant").isNull() | (F.col("mask_tenant") == F.col("tenant_id")))
+    order = Window.partitionBy("tenant_id").orderBy(F.col("mask_tenant").isNull(), "mask_id")
+    return fit.withColumn("r", F.row_number().over(order)).where("r = 1").select("tenant_id", "mask_id")
+
+
+def document_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = active_masks(spark).join(mask_entries(spark).drop("mask_tenant"), "mask_id")
+    return observations(spark, sf_dir).join(F.broadcast(entries), ["tenant_id", "element_id"]).select("document_id", "tenant_id", "mask_id", "element_id", "semantic_role", "section_path", "state", "value")
+
+
+def resolved_active_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return active_masks(spark)
+
+
+def section_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_values(spark, sf_dir).where((F.col("section_path") == "body") | F.col("section_path").startswith("body."))
+    return found.select("document_id", "semantic_role", "section_path", "state", "value")
+
+
+def section_search_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_values(spark, sf_dir).where(F.col("value").ilike("%urgent%")).select("document_id", "semantic_role", "value")
+
+
+def uncovered_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = active_masks(spark).join(mask_entries(spark).drop("mask_tenant"), "mask_id")
+    left = observations(spark, sf_dir).join(F.broadcast(entries), ["tenant_id", "element_id"], "left_anti")
+    return left.groupBy("tenant_id", "element_id").agg(F.count("*").alias("n_rows"))
+
+
+def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_values(spark, sf_dir).groupBy("tenant_id", "semantic_role", "state").agg(F.count("*").alias("n_values"))
+
+
+QUERIES = {f.__name__: f for f in (document_values, resolved_active_masks, section_read, section_search_ilike, uncovered_elements, metric_counters)}
+
+_ENTRIES = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in row) + ")" for row in MASK_ENTRIES)
+_WITH = f"""with e(mask_id, mask_tenant, element_id, semantic_role, section_path) as (values {_ENTRIES}),
+t(tenant_id) as (values {", ".join(f"('{x}')" for x in TENANTS)}),
+a as (select tenant_id, mask_id from (select tenant_id, mask_id, row_number() over (partition by tenant_id order by mask_tenant is null, mask_id) as r
+  from t join (select distinct mask_id, mask_tenant from e) m on mask_tenant is null or mask_tenant = tenant_id) where r = 1),
+o as (select o_orderkey, 'doc_' || o_orderkey as document_id, 't-' || (c_nationkey % 5) as tenant_id, o_totalprice, o_orderstatus, o_orderpriority,
+  case when o_orderkey % 11 = 0 then 'empty' when o_orderkey % 13 = 0 then 'unreadable' when o_orderkey % 17 = 0 then 'not_found' else 'present' end as state
+  from orders join customer on o_custkey = c_custkey),
+u as (select document_id, tenant_id, state, 'number' as element_id, cast(o_orderkey as varchar) as raw from o
+  union all select document_id, tenant_id, state, 'total', cast(cast(trunc(o_totalprice) as bigint) as varchar) from o
+  union all select document_id, tenant_id, state, 'status', o_orderstatus from o
+  union all select document_id, tenant_id, state, 'priority', o_orderpriority from o),
+obs as (select document_id, tenant_id, element_id, state, case when state = 'present' then raw end as value from u),
+ae as (select a.tenant_id, e.* from a join e using (mask_id)),
+v as (select document_id, obs.tenant_id, mask_id, obs.element_id, semantic_role, section_path, state, value
+  from obs join ae on obs.tenant_id = ae.tenant_id and obs.element_id = ae.element_id)
+"""
+ORACLES = {
+    "document_values": _WITH + "select * from v",
+    "resolved_active_masks": _WITH + "select * from a",
+    "section_read": _WITH + "select document_id, semantic_role, section_path, state, value from v where section_path = 'body' or section_path like 'body.%'",
+    "section_search_ilike": _WITH + "select document_id, semantic_role, value from v where value ilike '%urgent%'",
+    "uncovered_elements": _WITH + "select tenant_id, element_id, count(*) as n_rows from obs where not exists (select 1 from ae where ae.tenant_id = obs.tenant_id and ae.element_id = obs.element_id) group by all",
+    "metric_counters": _WITH + "select tenant_id, semantic_role, state, count(*) as n_values from v group by all",
+}

@@ -1,0 +1,21 @@
+import duckdb
+import pytest
+
+from papyra.operators import documents
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(documents.QUERIES))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    want = con.execute(documents.ORACLES[name])
+    cols = sorted(d[0] for d in want.description)
+    df = documents.QUERIES[name](spark, DIR)
+    assert sorted(df.columns) == cols
+    names = [d[0] for d in want.description]
+    rows = [tuple(r) for r in df.select(*names).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want.fetchall()))
+    assert rows
