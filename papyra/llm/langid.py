@@ -130,8 +130,7 @@ def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, stre
     n = len(names)
     rows = rows.withColumn("ll", text_evidence(F.col("h"), spark, model, evidence)).drop("h")
     rows = cut(rows.withColumn("p", _softmax(F.col("ll"))), "langid")
-    every = [float(x) for x in (rows.agg(_sums("p", n).alias("s")).first().s or [0.0] * n)]
-    every = [0.0 if x != x else x for x in every]
+    every = [float(x or 0.0) for x in rows.agg(_sums("p", n).alias("s")).first().s]
     total = sum(every)
     prior = [(x + 1.0) / (total + n) for x in every]  # all pages, smoothed towards equal shares
     base = F.array(*map(F.lit, prior))
