@@ -280,3 +280,16 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: st
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+
+
+def oracle() -> str:
+    """DuckDB SQL for op5: all overlaps by a join on shingles, then the smallest id that links reach."""
+    return r"""
+with recursive cut as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from cut),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select doc_id, doc_id as r from sets union select reach.doc_id, links.y from reach join links on links.x = reach.r)
+select sets.doc_id, len(s) as n_shingles, min(r) as component_id from sets join reach on reach.doc_id = sets.doc_id group by sets.doc_id, len(s)"""

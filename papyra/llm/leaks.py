@@ -283,6 +283,22 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def oracle() -> str:
+    """DuckDB SQL for op8: every window joined with every run of as many words."""
+    return r"""
+with item_words as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+doc_words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+windows as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from item_words where len(w) > 0)),
+runs as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc_words, (select distinct n from windows))),
+found as (select doc_id, item_id, i, n from runs join windows using (n, t)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join hit using (doc_id) left join items using (doc_id)"""
+
+
 def brute_force(texts: list[str | None], items: dict[int, str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
     """(words, hit words, items) by comparing every window with every position; for tests."""
     import re

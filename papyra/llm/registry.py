@@ -19,7 +19,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_exact_topk": topk.oracle(),
     "op3_chat_formatting": chat.oracle(),
-    "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
+    "op5_ngram_jaccard_join": jaccard.oracle(),
     "op6_mixing_sources": mixing.oracle(),
+    "op8_benchmark_decontamination": leaks.oracle(),
     "op9_url_filters": urls.oracle(),
 }
