@@ -37,25 +37,34 @@ def plan_merges(sizes: list[int], target: int = TARGET, fanout: int = FANOUT, le
     for i, n in enumerate(sizes):
         if n < target:
             runs.setdefault(tier(n), []).append((n, [i]))
+    done: list[list[int]] = []
+
+    def put(level: int, total: int, merged: int, ids: list[int]) -> None:
+        """A run goes up only if it merged others, so there are fewer with each step; full and lone ones are done."""
+        if total >= target or merged < 2:
+            done.append(ids)
+        else:
+            runs.setdefault(max(level + 1, tier(total)), []).append((total, ids))
+
     level = 0
     while level <= max(runs, default=-1):
-        here = runs.get(level, [])
-        if len(here) >= fanout:
-            runs[level], bag, total = [], [], 0
-            for n, ids in here:
-                if bag and total + n > 1.25 * target:
-                    runs.setdefault(max(level + 1, tier(total)), []).append((total, bag))
-                    bag, total = [], 0
-                bag, total = bag + ids, total + n
-                if tier(total) > level and total >= min(target, fanout * least) and total >= (fanout - 0.5) * n:
-                    runs.setdefault(tier(total), []).append((total, bag))
-                    bag, total = [], 0
-            if len(bag) == 1:
-                runs[level].append((total, bag))
-            elif bag:
-                runs.setdefault(max(level + 1, tier(total)), []).append((total, bag))
+        here = runs.pop(level, [])
+        if len(here) < fanout:
+            done += [ids for _, ids in here]
+            here = []
+        bag, total, merged = [], 0, 0
+        for n, ids in here:
+            if bag and total + n > 1.25 * target:
+                put(level, total, merged, bag)
+                bag, total, merged = [], 0, 0
+            bag, total, merged = bag + ids, total + n, merged + 1
+            if tier(total) > level and total >= min(target, fanout * least) and total >= (fanout - 0.5) * n:
+                put(level, total, merged, bag)
+                bag, total, merged = [], 0, 0
+        if bag:
+            put(level, total, merged, bag)
         level += 1
-    return [ids for level in sorted(runs) for _, ids in runs[level] if len(ids) > 1]
+    return [ids for ids in done if len(ids) > 1]
 
 
 class ShardedTable:
