@@ -12,7 +12,8 @@ are read; elsewhere the tracked match is too short by construction.
 Items are read in groups of at most ``max_item_bytes`` of text; each group is one automaton and one pass, so the
 broadcast is bounded whatever the benchmark's size, and the hits of all groups are united.
 
-Null or empty texts have no words and no hits; null or wordless items, and items without an id, have no windows;
+Null or empty texts have no words and no hits; null or wordless items have no windows. An id that repeats with
+another text owns the windows of all its texts, items without an id count as one item whose id is null, and
 repeated items count once. Rows of documents map one to one, and their other columns are left alone.
 """
 
@@ -37,13 +38,13 @@ FOUND = "n_words long, spans array<struct<start:long,stop:long>>, item_ids array
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the windows that end in each state."""
+    """Suffix automaton of several word sequences, each with its item, and the windows that end in each state."""
 
-    def __init__(self, items: dict[int, list[int]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[int]]], window: int):
         self.window = window
         self.next, self.link, self.length = [{}], [-1], [0]
-        owners: list[set[int]] = [set()]
-        for item, seq in items.items():
+        owners: list[set[int | None]] = [set()]
+        for item, seq in items:
             last = 0
             for w in seq:
                 last = self._extend(last, w, owners)
@@ -58,8 +59,8 @@ class Automaton:
             self.full[s] = self.full[up] if self.full[up] >= 0 else s if self.length[s] >= window else -1
         self.owners = {s: frozenset(owners[s]) for s in set(self.full) - {-1}}
         #: whole items of fewer words: state -> words -> items
-        self.short: dict[int, dict[int, set[int]]] = {}
-        for item, seq in items.items():
+        self.short: dict[int, dict[int, set[int | None]]] = {}
+        for item, seq in items:
             if len(seq) < window:
                 s = 0
                 for w in seq:
@@ -99,11 +100,11 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def read(self, words: Iterable[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    def read(self, words: Iterable[int]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Spans of word positions (from, to) that are hit, and the items whose windows occur."""
         nxt, link, length, full, short, window = self.next, self.link, self.length, self.full, self.short, self.window
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        found: set[int | None] = set()
         s = n = 0
         for i, w in enumerate(words):
             while s and w not in nxt[s]:
@@ -137,13 +138,12 @@ class Automaton:
 class Matcher:
     """The automaton of some items together with what finds the runs of words that it must read."""
 
-    def __init__(self, items: dict[int, str], window: int):
-        ids = list(items)
-        w = Words(pa.array([items[i] for i in ids], pa.string()), ALNUM_WORDS)
+    def __init__(self, items: list[tuple[int | None, str]], window: int):
+        w = Words(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS)
         self.vocabulary, codes = np.unique(w.hashes, return_inverse=True)
-        seqs = {i: codes[w.first[k] : w.first[k + 1]].tolist() for k, i in enumerate(ids) if w.first[k + 1] > w.first[k]}
+        seqs = [(i, codes[w.first[k] : w.first[k + 1]].tolist()) for k, (i, _) in enumerate(items) if w.first[k + 1] > w.first[k]]
         self.automaton = Automaton(seqs, window)
-        self.least = min((min(window, len(x)) for x in seqs.values()), default=0)
+        self.least = min((min(window, len(x)) for _, x in seqs), default=0)
         inside = np.ones(max(0, len(codes) - 1), bool)
         cut = w.first[1:-1]
         inside[cut[(cut > 0) & (cut < len(codes))] - 1] = False
@@ -177,7 +177,7 @@ class Matcher:
         keep = size >= self.least
         return code, first[keep], size[keep]
 
-    def scan(self, w: Words) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
+    def scan(self, w: Words) -> dict[int, tuple[list[tuple[int, int]], set[int | None]]]:
         """For each text with hits: spans of its word positions and items."""
         out: dict[int, tuple[list, set]] = {}
         if not self.least or not len(w.hashes):
@@ -204,18 +204,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _last(item: int | None) -> tuple[bool, int]:
+    """Key that sorts a null id behind the others."""
+    return item is None, item or 0
+
+
 def matchers(benchmark: DataFrame, window: int, max_item_bytes: int, id_col: str, text_col: str) -> list[Matcher]:
     """One for each group of items; the driver holds one group's texts at a time."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     groups = -(-total // max_item_bytes) if total else 0
     out = []
     for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).collect()
-        by_id: dict[int, str] = {}
-        for r in sorted(part, key=lambda r: (r.i, r.t)):
-            by_id.setdefault(r.i, r.t)  # an id with several texts: the first
-        out.append(Matcher(by_id, window))
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(groups)) == g).collect()
+        out.append(Matcher(sorted(((r.i, r.t) for r in part), key=lambda x: (_last(x[0]), x[1])), window))
     return out
 
 
@@ -235,7 +237,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, max_item_bytes: in
                 a += spans
                 b |= items
         spans = [[{"start": x, "stop": y} for x, y in merged(hits[d][0])] if d in hits else [] for d in range(len(w))]
-        items = [sorted(hits[d][1]) if d in hits else [] for d in range(len(w))]
+        items = [sorted(hits[d][1], key=_last) if d in hits else [] for d in range(len(w))]
         cols = [pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
         names = ["n_words", "spans", "item_ids"]
         if cleaned:
