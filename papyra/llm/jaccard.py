@@ -78,8 +78,8 @@ def block_values(row: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def incidence(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, node (hash of the whole row; null if empty) and grams, the row itself, for each document."""
+def incidence(docs: DataFrame, k: int, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, n, node (hash of the whole row; null if empty) and grams, the row itself, for each document; more: columns to keep."""
 
     def run(text: pa.Array) -> pa.Array:
         n, node, grams = [], [], []
@@ -91,7 +91,7 @@ def incidence(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     made = F.arrow_udf(run, "n long, node long, grams binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), made(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.*")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), made(F.col(text_col).cast("string")).alias("r"), *more).select("doc_id", "r.*", *more)
 
 
 def shared_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -231,6 +231,11 @@ def _raised(edges: DataFrame, up: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs."""
+    return _grouped(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_groups with node and comp, which names the component whatever ids its rows have."""
     every = cut(incidence(docs, k, id_col, text_col), "incidence")
     real = every.where("doc_id is not null and node is not null")
     classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
@@ -256,26 +261,33 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_c
     if not more.isEmpty():
         comp = components(found.union(more))
     least = classes.join(comp, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comp.join(least, "comp").select("node", "component_id")
-    named = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = comp.join(least, "comp").select("node", "comp", "component_id")
+    named = classes.join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = every.select("doc_id", "n", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
+    return out.select("doc_id", "node", "comp", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that link, directly or not, to one with a smaller id; rows without an id stay.
+    """One row of each component of docs: of those with its smallest id that with the smallest node, then text.
 
-    Of rows that repeat both id and text one stays.
+    Rows without an id stay, and rows with an empty set of shingles, of which one stays for each id and text.
     """
     key = F.col(id_col).cast("long")
-    groups = jaccard_groups(docs, k, percent, id_col, text_col).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(groups, key == F.col("_gone"), "left_anti")
+    groups = _grouped(docs, k, percent, id_col, text_col)
+    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     again = cut(docs.groupBy(key.alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "again")
     if again.isEmpty():
-        return left
-    once = left.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(again, key == F.col("_again"), "left_anti").unionByName(once)
+        return docs.join(gone, key == F.col("_gone"), "left_anti")
+    # an id that repeats says nothing of a row: its rows are told apart by their nodes
+    alone = docs.join(again, key == F.col("_again"), "left_anti").join(gone, key == F.col("_gone"), "left_anti")
+    made = incidence(docs.join(again, key == F.col("_again"), "left_semi").withColumn("_row", F.struct(*docs.columns)), k, id_col, text_col, "_row")
+    rows = cut(made.select("doc_id", "node", "_row"), "repeated")
+    least = groups.where("node is not null and doc_id = component_id").join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+    least = least.groupBy("comp", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node")
+    real = rows.join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("_row", F.col("_row")[text_col]).alias("_row")).select("_row.*")
+    empty = rows.where("node is null").select("_row.*").dropDuplicates([id_col, text_col])
+    return alone.unionByName(real).unionByName(empty)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

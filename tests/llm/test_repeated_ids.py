@@ -1,6 +1,6 @@
 import duckdb
 
-from papyra.llm import leaks
+from papyra.llm import jaccard, leaks
 
 
 def by_sql(sql, folder, *tables):
@@ -22,3 +22,19 @@ def test_leaks_of_items_that_share_an_id_or_have_none(spark, tmp_path):
     # the same in several groups
     found = leaks.contamination(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")), max_item_bytes=60)
     assert {r.doc_id: r.item_ids for r in found.collect()} == {1: [7], 2: [7, 8, None], 3: [None], 4: []}
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    near = lambda w, k: " ".join(w[:k] + ["other"] + w[k + 1 :])
+    full = [" ".join(w) for w in base]
+    rows = [(1, full[0]), (5, near(base[0], 59)), (5, full[1])]  # 5's second text is no copy
+    rows += [(2, full[2]), (2, near(base[2], 59)), (9, near(base[2], 0))]  # two near copies share the least id
+    rows += [(3, full[3]), (3, full[3]), (3, full[3].upper()), (4, full[3])]
+    rows += [(6, ""), (6, ""), (6, None), (7, " "), (None, full[0]), (None, full[0])]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    real = [(r.doc_id, r.text) for r in got if r.doc_id is not None and (r.text or "").strip()]
+    assert sorted(i for i, _ in real) == [1, 2, 3, 5]
+    assert (1, full[0]) in real and (5, full[1]) in real and (3, full[3].upper()) in real
+    assert sorted((r.doc_id, str(r.text)) for r in got if not (r.text or "").strip()) == [(6, ""), (6, "None"), (7, " ")]
+    assert sum(r.doc_id is None for r in got) == 2
