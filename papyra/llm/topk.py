@@ -12,8 +12,10 @@ bounded size, each pair of a group and a pack is one row of work, and only k row
 keeps k of those. No task holds more than a group and a pack.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; queries meet
-vectors of their own length only. Of rows that share an id one takes part, the one with the smallest vector. Fewer
-than k candidates give as many rows.
+vectors of their own length only. Every row is a candidate for the queries of other ids, so an id that repeats can
+be named once for each of its rows; query rows that share an id are ranked together. Rows with equal score and id give equal
+rows, so their order is of no account. Of rows equal in id and vector k are kept, since no more of them can be
+among k rows. Fewer than k candidates give as many rows.
 """
 
 from __future__ import annotations
@@ -75,15 +77,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     spark = vectors.sparkSession
     small_batches(spark, 1)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("v")).where("vec_id is not null and v is not null")
-    base = cut(base.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
+    copies = F.sequence(F.lit(1), F.least(F.count("*"), F.lit(k)).cast("int"))
+    base = base.groupBy("vec_id", "v").agg(copies.alias("copies"))
+    base = cut(base.select("vec_id", "v", F.explode("copies").alias("copy"), F.size("v").alias("dim")), "vectors")
     stats = base.groupBy("dim").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
     plan = stats.select("dim", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(pack))).cast("int").alias("packs"), F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(group))).cast("int").alias("groups"))
     plan = F.broadcast(plan)  # one row for each vector length
     ranked = base.join(plan, "dim")
     # hash packs keep every pack near its size whatever the ids; ids rise inside a pack, and its blocks are ranges of them
-    packed = ranked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.col("packs")).alias("pack"))
+    packed = ranked.groupBy("dim", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("packs")).alias("pack"))
     packed = packed.agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("docs"))
-    asked = ranked.where(is_query).groupBy("dim", "packs", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("groups")).alias("group"))
+    asked = ranked.where(is_query).groupBy("dim", "packs", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v", "copy"), F.col("groups")).alias("group"))
     asked = asked.agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
     # only queries are copied, once for each pack; a pack is shuffled once and meets all its groups in one task
     right = asked.withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))

@@ -1,6 +1,8 @@
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
-from papyra.llm import jaccard, leaks
+from papyra.llm import jaccard, leaks, topk
 
 
 def by_sql(sql, folder, *tables):
@@ -24,6 +26,18 @@ def test_leaks_of_items_that_share_an_id_or_have_none(spark, tmp_path):
     assert {r.doc_id: r.item_ids for r in found.collect()} == {1: [7], 2: [7, 8, None], 3: [None], 4: []}
 
 
+def test_top_k_of_rows_that_share_an_id(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 9, 4) / 8]) for i in rng.integers(0, 60, 400)] + [(0, [1.0, 0.5, 0.0, 0.0])]
+    rows += [(3, [9.0, 9.0, 9.0, 9.0])] * 3 + [(4, [-9.0, -9.0, -9.0, -9.0])] * 8
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = by_sql(topk.oracle(), tmp_path, "embeddings")
+    assert len(want) == 10
+    vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    for pack in (topk.PACK, 16):
+        assert sorted(map(tuple, topk.top_k(vectors, F.col("vec_id") % 50 == 0, pack=pack, group=pack).collect())) == want
+
+
 def test_keep_one_of_rows_that_share_an_id(spark):
     base = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
     near = lambda w, k: " ".join(w[:k] + ["other"] + w[k + 1 :])
