@@ -11,7 +11,8 @@ unlabelled text are fitted, with an L1 proximal step, so most weights are zero.
 
 Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 are learnt from; labels, lang, source and doc_id are never
 inputs of a score. The sample to fit is bounded: at most ``max_positive`` toxic and ``max_unlabelled`` other rows,
-those with the smallest hash of their id; all rows are scored, over their whole texts.
+those with the smallest hash of their id, and of rows that share an id one, that with the smallest columns as bytes; all
+rows are scored, over their whole texts.
 
 Null and empty texts have no features and get the score of the bias alone. Without any toxic row to learn from, every score
 is 0. A doc_id that is labelled more than once is toxic if any of its labels says so. Rows map one to one.
@@ -209,11 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     ids = docs.select(F.col(id_col).cast("long").alias("i")).where(F.col("i").isNotNull() & ~is_held_out(F.col("i")))
     few_p = known.where("y = 1").orderBy(order, "i").limit(max_positive).select("i", F.lit(1).alias("p"))
     # confirmed toxic rows are a fixed share of the unlabelled stream as well: they are not taken out of it
-    few_u = ids.orderBy(order, "i").limit(max_unlabelled).select("i", F.lit(0).alias("p"))
+    few_u = ids.distinct().orderBy(order, "i").limit(max_unlabelled).select("i", F.lit(0).alias("p"))
     few = F.broadcast(few_p.union(few_u).distinct())  # at most max_positive + max_unlabelled rows
     cols = F.arrow_udf(lambda t: pa.array([c.tobytes() for c in columns_of(t)], pa.binary()), "binary")
     got = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(few, "i").select("i", "p", cols("t").alias("c"))
-    table = got.toArrow()
+    table = got.groupBy("i", "p").agg(F.min("c").alias("c")).toArrow()
     order = sorted(range(table.num_rows), key=lambda k, i=table.column("i").to_pylist(), c=table.column("c").to_pylist(): (mix(np.array([i[k]]).astype(np.uint64))[0], c[k]))
     table = table.take(order)
     sides: tuple[list, list] = ([], [])

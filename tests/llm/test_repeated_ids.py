@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from papyra.llm import jaccard, leaks, topk
+from papyra.llm import jaccard, leaks, topk, toxicity
 
 
 def by_sql(sql, folder, *tables):
@@ -52,3 +52,13 @@ def test_keep_one_of_rows_that_share_an_id(spark):
     assert (1, full[0]) in real and (5, full[1]) in real and (3, full[3].upper()) in real
     assert sorted((r.doc_id, str(r.text)) for r in got if not (r.text or "").strip()) == [(6, ""), (6, "None"), (7, " ")]
     assert sum(r.doc_id is None for r in got) == 2
+
+
+def test_sample_of_rows_that_share_an_id(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "learn", lambda positive, unlabelled, confirmed, prior: seen.update(p=len(positive), u=len(unlabelled)))
+    rows = [(i, f"text {i}") for i in range(200)] + [(i, f"again {j}") for i in range(20) for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, max_positive=5, max_unlabelled=50)
+    assert seen == {"p": 5, "u": 50}
