@@ -14,6 +14,9 @@ partial aggregation, so a host with most of the pages is no hot spot; only the t
 n-gram counts reach the driver or are broadcast, and both are bounded: ``DECLARED`` values of languages known from the documents, and
 ``FEATURES`` columns for each language.
 
+Up to ``MAX_LANGS`` languages have one dense model. More are held in blocks of so many, and of each only the columns
+that its documents have; the work for a page and the tables of declared values grow with the number of languages.
+
 Null or empty html has no text evidence and no declaration, null urls have the empty host: such pages get what the
 other parts say, at last the shares of all pages. Repeated rows are pages of their own. Without any document with a language lang is null.
 """
@@ -34,6 +37,7 @@ from papyra.llm.words import buffers
 FEATURES = 1 << 16
 PIECE = 1 << 20
 EVIDENCE = 24.0
+#: Languages of one dense model, or of a block.
 MAX_LANGS = 256
 _GONE = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
 _LANG = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
@@ -58,8 +62,37 @@ def _pieces(raw: np.ndarray):
         yield raw[k : k + PIECE + 3]
 
 
-def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages by name, and for each the log-probabilities of the columns, from all documents that have one."""
+class Dense:
+    """Log-probabilities of all columns for each language of a block."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts + 1.0
+        self.model = np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T)
+        self.n = self.model.shape[1]
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        return self.model[g].sum(axis=0)
+
+
+class Sparse:
+    """The same from the counts that aren't 0: each column has a language's least log-probability and log(1 + count)."""
+
+    def __init__(self, lang: np.ndarray, column: np.ndarray, count: np.ndarray, n: int):
+        order = np.argsort(column, kind="stable")
+        self.n, self.lang = n, lang[order].astype(np.int32)
+        self.first = np.searchsorted(column[order], np.arange(FEATURES + 1))
+        self.more = np.log1p(count[order])
+        self.least = -np.log(np.bincount(lang, count, n) + FEATURES)
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        g, times = np.unique(g, return_counts=True)
+        size = self.first[g + 1] - self.first[g]
+        at = np.repeat(self.first[g] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return times.sum() * self.least + np.bincount(self.lang[at], self.more[at] * np.repeat(times, size), self.n)
+
+
+def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[Dense] | list[Sparse]]:
+    """Languages by name, and the models of their blocks in that order, from all documents that have a language."""
     small_batches(docs.sparkSession)
 
     def count(batches):
@@ -67,36 +100,51 @@ def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for b in batches:
             raw, at = buffers(b.column(0))
             for d, lang in enumerate(b.column(1).to_pylist()):
+                if len(total) >= MAX_LANGS and lang not in total:
+                    yield from told(total)
+                    total.clear()
                 sums = total.setdefault(lang, np.zeros(FEATURES, np.int64))
                 for piece in _pieces(raw[at[d] : at[d + 1]]):
                     sums += np.bincount(grams(piece), minlength=FEATURES)
+        yield from told(total)
+
+    def told(total: dict[str, np.ndarray]):
         for lang, sums in total.items():
             f = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(f), pa.array(sums[f])], names=["lang", "f", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null")
-    names = sorted(r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS + 1).collect())
+    names = sorted(r.l for r in rows.select("l").distinct().collect())
+    summed = rows.mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n"))
     if len(names) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = np.ones((len(names), FEATURES))
-    summed = rows.mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow()
-    where = {x: i for i, x in enumerate(names)}
-    if summed.num_rows:
-        counts[[where[x] for x in summed.column("lang").to_pylist()], summed.column("f").to_numpy()] += summed.column("n").to_numpy()
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True))
-
-
-def text_evidence(html: Column, spark: SparkSession, model: np.ndarray, evidence: float) -> Column:
+        summed = cut(summed, "grams")
+    models = []
+    for k in range(0, len(names), MAX_LANGS):
+        block = names[k : k + MAX_LANGS]
+        got = (summed if len(block) == len(names) else summed.where(F.col("lang").isin(block))).toArrow()
+        where = {x: i for i, x in enumerate(block)}
+        lang = np.array([where[x] for x in got.column("lang").to_pylist()], np.int64)
+        column, n = got.column("f").to_numpy(), got.column("n").to_numpy()
+        if len(block) < len(names):
+            models.append(Sparse(lang, column, n, len(block)))
+        else:
+            counts = np.zeros((len(block), FEATURES))
+            counts[lang, column] = n
+            models.append(Dense(counts))
+    return names, models
+
+
+def text_evidence(html: Column, spark: SparkSession, models: list[Dense] | list[Sparse], evidence: float) -> Column:
     """For each language the tempered log-likelihood, largest 0."""
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.T))
+    shared = [spark.sparkContext.broadcast(m) for m in models]
 
     def run(column: pa.Array) -> pa.Array:
-        m, out = shared.value, []
+        held, out = [b.value for b in shared], []
         for t in column.to_pylist():
-            total, n = np.zeros(m.shape[1]), 0
+            total, n = np.zeros(sum(m.n for m in held)), 0
             for piece in _pieces(np.frombuffer(visible(t or "").encode(), np.uint8)):
                 g = grams(piece)
-                total += m[g].sum(axis=0)
+                total += np.concatenate([m.of(g) for m in held])
                 n += len(g)
             total = total * (min(n, evidence) / n) if n else total
             out.append(total - total.max())
@@ -111,15 +159,55 @@ def _softmax(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(p: str, n: int) -> Column:
-    """Component sums of an array column, rounded so that their order does not matter."""
-    return F.array(*[F.sum(F.round(F.get(p, F.lit(i)) * 1e6).cast("long")) / F.lit(1e6) for i in range(n)])
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
+
+
+def _shares(logs: np.ndarray) -> np.ndarray:
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def _many_shares(n: int):
+    """_softmax for many languages: nested array functions would repeat their inner ones for each element."""
+
+    def run(logs: pa.Array) -> pa.Array:
+        return pa.array(list(_shares(_matrix(logs, n))), pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")
+
+
+def _many_fused(prior: list[float], strength: float):
+    """identify's posterior for many languages: position of the best, its probability, position of the text's best."""
+    base = np.array(prior)
+
+    def run(ll: pa.Array, p: pa.Array, by_host: pa.Array, by_domain: pa.Array, by_suffix: pa.Array, said: pa.Array) -> pa.Array:
+        logs, own, host, domain, suffix, declared = (_matrix(c, len(base)) for c in (ll, p, by_host, by_domain, by_suffix, said))
+        host, domain, suffix = (np.maximum(0.0, c - own) for c in (host, domain, suffix))
+        size = host.sum(axis=1, keepdims=True)
+        smoothed = lambda c, q: (c + strength * q) / (c.sum(axis=1, keepdims=True) + strength)
+        prior_of_host = smoothed(host, smoothed(domain, base))
+        post = _shares(logs + declared + np.log(prior_of_host) + strength / (strength + size) * np.log(smoothed(suffix, base) / base))
+        parts = [pa.array(post.argmax(axis=1), pa.int32()), pa.array(post.max(axis=1), pa.float64()), pa.array(logs.argmax(axis=1), pa.int32())]
+        return pa.StructArray.from_arrays(parts, names=["best", "probability", "text_best"])
+
+    return F.arrow_udf(run, "best int, probability double, text_best int")
+
+
+def _sums(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """by, s: component sums of the array column ``p``, of length n, rounded so that their order does not matter."""
+    whole = lambda x: F.sum(F.round(x * 1e6).cast("long")) / F.lit(1e6)
+    if n <= MAX_LANGS:
+        return rows.groupBy(*by).agg(F.array(*[whole(F.get("p", F.lit(i))) for i in range(n)]).alias("s"))
+    # a plan with a sum for each language would be too large
+    each = rows.select(*by, F.posexplode("p").alias("k", "x")).groupBy(*by, "k").agg(whole(F.col("x")).alias("x"))
+    return each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s")).select(*by, F.col("s.x").alias("s"))
 
 
 def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, strength: float = 4.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """page_id, lang, probability, declared, suffix, host and text_lang (by the text alone) for each page."""
     spark = pages.sparkSession
-    names, model = text_models(docs, text_col, lang_col)
+    names, models = text_models(docs, text_col, lang_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
     host = F.regexp_replace(host_of(F.col("u")), ":\\d*$", "")
     found = F.lower(F.regexp_extract("h", _LANG, 1))
@@ -128,12 +216,15 @@ def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, stre
     if not names:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host", F.lit(None).cast("string").alias("text_lang"))
     n = len(names)
-    rows = rows.withColumn("ll", text_evidence(F.col("h"), spark, model, evidence)).drop("h")
-    rows = cut(rows.withColumn("p", _softmax(F.col("ll"))), "langid")
-    every = [float(x or 0.0) for x in rows.agg(_sums("p", n).alias("s")).first().s]
+    rows = rows.withColumn("ll", text_evidence(F.col("h"), spark, models, evidence)).drop("h")
+    softmax = _softmax if n <= MAX_LANGS else _many_shares(n)
+    rows = cut(rows.withColumn("p", softmax(F.col("ll"))), "langid")
+    every = _sums(rows, n).first()
+    every = [float(x or 0.0) for x in every.s] if every and every.s else [0.0] * n
     total = sum(every)
     prior = [(x + 1.0) / (total + n) for x in every]  # all pages, smoothed towards equal shares
-    base = F.array(*map(F.lit, prior))
+
+    base = F.array(*map(F.lit, prior)) if n <= MAX_LANGS else None
 
     def less(counts: Column) -> Column:
         """Soft counts without the page's own."""
@@ -143,22 +234,25 @@ def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, stre
         size = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(counts, towards, lambda c, q: (c + F.lit(strength) * q) / (size + F.lit(strength)))
 
-    tables = {c: rows.groupBy(c).agg(_sums("p", n).alias(f"by_{c}")) for c in ("host", "domain", "suffix")}
+    tables = {c: _sums(rows, n, c).withColumnRenamed("s", f"by_{c}") for c in ("host", "domain", "suffix")}
     out = rows
     for c, t in tables.items():
         out = out.join(t, c, "left")
-    by_declared = {r.declared: list(r.s) for r in rows.where("declared is not null").groupBy("declared").agg(_sums("p", n).alias("s")).collect()}
+    by_declared = {r.declared: list(r.s) for r in _sums(rows.where("declared is not null"), n, "declared").collect()}
     some = [sum(v[i] for v in by_declared.values()) for i in range(n)]
     table = {d: [float(np.log((v[i] + 0.5) / (some[i] + 0.5 * (len(by_declared) + 1)))) for i in range(n)] for d, v in by_declared.items()}
-    said = F.array(*[F.lit(0.0)] * n)
-    for d, v in table.items():
-        said = F.when(F.col("declared") == d, F.array(*map(F.lit, v))).otherwise(said)
+    out = out.join(F.broadcast(spark.createDataFrame(list(table.items()), "declared string, said array<double>")), "declared", "left")
+    said = F.coalesce("said", F.array_repeat(F.lit(0.0), n))
+    if n > MAX_LANGS:
+        out = out.withColumn("said", said).withColumn("r", _many_fused(prior, strength)("ll", "p", "by_host", "by_domain", "by_suffix", "said"))
+        name = F.array(*map(F.lit, names))
+        return out.select("page_id", F.get(name, F.col("r.best")).alias("lang"), F.col("r.probability").alias("probability"), "declared", "suffix", "host", F.get(name, F.col("r.text_best")).alias("text_lang"))
     host_prior = smoothed(less(F.col("by_host")), smoothed(less(F.col("by_domain")), base))
     # P(suffix | language) up to a constant: P(language | suffix) / P(language)
     ending = F.zip_with(smoothed(less(F.col("by_suffix")), base), base, lambda a, b: F.ln(a / b))
     # the host's prior holds its suffix already as far as the host's own pages say so; the suffix counts for the rest
     weight = F.lit(strength) / (F.lit(strength) + F.aggregate(less(F.col("by_host")), F.lit(0.0), lambda a, b: a + b))
-    logs = F.zip_with(F.zip_with("ll", said, lambda a, b: a + b), F.zip_with(host_prior, ending, lambda a, b: F.ln(a) + weight * b), lambda a, b: a + b)
+    logs = F.zip_with(F.zip_with(F.col("ll"), said, lambda a, b: a + b), F.zip_with(host_prior, ending, lambda a, b: F.ln(a) + weight * b), lambda a, b: a + b)
     out = out.withColumn("post", _softmax(logs))
     name = F.array(*map(F.lit, names))
     best = lambda c: F.get(name, F.array_position(c, F.array_max(c)).cast("int") - 1)
