@@ -11,14 +11,23 @@ neither leaves out when it drops its last s - 1. Only cells of the product whose
 computed; all others are below the size-derived bound. How many blocks there are depends on a range of sizes
 whose ends differ by the threshold; a row takes part in its own range and in the next one.
 
-Cells are computed in two rounds. First every row of a block value meets one pivot, the smallest of its rows, which makes
-one class of most near copies. Block values whose rows are all connected by then can't change a component and are left
-out. Of the others, values of at most ``FEW`` rows give their cells one by one, and larger ones give tiles: their rows are packed
+Every cell that is computed is computed by a product that accumulates overlap counts: of one row with a block of rows
+(``row_product``) or of two row blocks over column blocks (``tile_links``); cells whose sizes can't reach the threshold
+are discarded before any row of the matrix moves.
+
+Cells are computed in two rounds. First every row of a block value meets one pivot, which makes
+one class of most near copies. Rows of one Arrow batch that share a value meet the batch's first such row, and only
+that row goes into the shuffle by value, so a value that very many rows hold arrives once for each batch; there the smallest row
+is the pivot. Block values whose rows are all connected by then can't change a component and are left
+out. Of the others, values of at most ``FEW`` rows give their cells with each row as a pivot, and larger ones give tiles: their rows are packed
 into row blocks of bounded count and bytes, two row blocks that share a value are one tile, and a tile's product is
 accumulated over column blocks until every cell is decided, with cells that can't reach their bound
 discarded on the way. A tile returns a spanning forest of its links, so no group is written out as pairs. Overlap counts come
 from the rows themselves, so every accepted link is exact (up to equal 64-bit hashes).
 
+One pass over the texts writes sizes, names and block values; the rows of the matrix are made again from the text, and only for
+documents that share a block. A table is deleted as soon as its successor is written.
+
 Components are found by contraction: every node that has a smaller neighbour joins the smallest such, chains are
 shortened by doubling, and the edges between what is left are contracted again. All tables stay distributed.
 
@@ -32,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from papyra.llm.store import cut, small_batches
-from papyra.llm.words import SPACE_WORDS, Words, mix, shingles
+from papyra.llm.store import Scratch, free_names, if_few, slices
+from papyra.llm.words import SPACE_WORDS, Words, buffers, mix, shingles
 
 WORDS, PERCENT = 5, 80
 #: Rows of a block value from which on it is worked on in tiles; rows and bytes of a row block; columns of a column block.
@@ -78,59 +88,104 @@ def block_values(row: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def incidence(docs: DataFrame, k: int, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """doc_id, n, node (hash of the whole row; null if empty) and grams, the row itself, for each document; more: columns to keep."""
+def node_of(grams: np.ndarray) -> int | None:
+    """Hash of a whole row; null for an empty one."""
+    if not len(grams):
+        return None
+    return int(mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
-    def run(text: pa.Array) -> pa.Array:
-        n, node, grams = [], [], []
-        for s in shingles(Words(text, SPACE_WORDS), k):
-            n.append(len(s))
-            node.append(int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None)
-            grams.append(s.tobytes())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(grams, pa.binary())], names=["n", "node", "grams"])
 
-    small_batches(docs.sparkSession)
-    made = F.arrow_udf(run, "n long, node long, grams binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), made(F.col(text_col).cast("string")).alias("r"), *more).select("doc_id", "r.*", *more)
+SIGNED = "doc_id long, h long, n long, node long, own array<long>, met array<struct<value:long,pivot:long>>"
 
 
-def shared_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """value, node for each block value of each row."""
+def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """For each row its id, hash of the text, size, node, and block values: own, and those met with a pivot of its batch."""
     last = size_ranges(percent)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def run(batches):
         for b in batches:
-            values, nodes, seen = [], [], set()
-            for node, grams in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if node in seen:
-                    continue
+            for lo, hi in slices(buffers(b.column(2))[1], 8 << 20):
+                yield part(b.slice(lo, hi - lo))
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids = b.column(0)
+        n, nodes, values, seen = [], [], [], set()
+        for s, known in zip(shingles(Words(b.column(2), SPACE_WORDS), k), ids.is_valid().to_pylist(), strict=True):
+            node = node_of(s)
+            n.append(len(s))
+            nodes.append(node)
+            fresh = known and node is not None and node not in seen
+            values.append(block_values(s, percent, last) if fresh else np.zeros(0, np.uint64))
+            if fresh:
                 seen.add(node)
-                v = block_values(np.frombuffer(grams.as_buffer(), np.uint64), percent, last)
-                values.append(v.view(np.int64))
-                nodes.append(np.full(len(v), node, np.int64))
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(nodes))], names=["value", "node"])
+        size = np.array([len(v) for v in values], np.int64)
+        every = np.concatenate(values).view(np.int64)
+        row = np.repeat(np.arange(len(values)), size)
+        _, first, where = np.unique(every, return_index=True, return_inverse=True)
+        pivot = row[first[where]]
+        mine = pivot == row
+        name = np.array([x or 0 for x in nodes], np.int64)
+        ends = lambda keep: pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(values)))]), pa.int32())
+        own = pa.ListArray.from_arrays(ends(mine), pa.array(every[mine]))
+        pairs = pa.StructArray.from_arrays([pa.array(every[~mine]), pa.array(name[pivot[~mine]])], names=["value", "pivot"])
+        met = pa.ListArray.from_arrays(ends(~mine), pairs)
+        cols = [ids, b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), own, met]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "node", "own", "met"])
+
+    return rows.mapInArrow(run, SIGNED)
+
+
+def gram_rows(docs: DataFrame, used: DataFrame, repeated: bool, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, n, grams for the documents of used (doc_id, h, node, n)."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi in slices(buffers(column)[1], 8 << 20):
+            out += [s.tobytes() for s in shingles(Words(column.slice(lo, hi - lo), SPACE_WORDS), k)]
+        return pa.array(out, pa.binary())
+
+    found = rows.join(if_few(used), ["doc_id", "h"]).select("node", "n", F.arrow_udf(run, "binary")("text").alias("grams"))
+    return found.dropDuplicates(["node"]) if repeated else found
 
-    return rows.select("node", "grams").mapInArrow(run, "value long, node long")
+
+def row_product(pivot: np.ndarray, rows: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of rows reach the threshold with pivot: a sparse vector by sparse matrix product, with overlap counts summed by row."""
+    size = np.array([len(r) for r in rows], np.int64)
+    near = np.flatnonzero(100 * np.minimum(size, len(pivot)) >= percent * np.maximum(size, len(pivot)))
+    overlap = np.zeros(len(rows), np.int64)
+    if len(near) and len(pivot):
+        column = np.concatenate([rows[i] for i in near])
+        row = np.repeat(near, size[near])
+        hit = pivot[np.minimum(np.searchsorted(pivot, column), len(pivot) - 1)] == column
+        overlap += np.bincount(row[hit], minlength=len(rows))
+    return (overlap > 0) & (100 * overlap >= percent * (size + len(pivot) - overlap))
 
 
 def links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """a, b of the cells (a, b) whose overlap reaches the threshold; rows: node, grams."""
+    """a, b of the cells (a, b) whose overlap reaches the threshold; rows: node, n, grams.
 
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            if 100 * len(a) < percent * len(b):
-                continue
-            overlap = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
-            out[i] = 100 * overlap >= percent * (len(a) + len(b) - overlap)
-        return pa.array(out)
+    The cells of one b are cut into blocks of bounded count and bytes, so a b with very many cells is many products.
+    """
+    sizes = rows.select("node", "n")
+    sized = cells.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    sized = sized.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+    many = F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("na") * 8 / F.lit(TILE_BYTES)))
+    placed = sized.join(sized.groupBy("b").agg(many.alias("many")), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("many")).alias("part"))
+    packs = placed.join(rows.select(F.col("node").alias("a"), "grams"), "a").groupBy("b", "part").agg(F.collect_list("a").alias("names"), F.collect_list("grams").alias("left"))
+
+    def run(names: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for ids, block, pivot in zip(names, left, right, strict=True):
+            found = row_product(np.frombuffer(pivot.as_buffer(), np.uint64), [np.frombuffer(x.as_buffer(), np.uint64) for x in block], percent)
+            out.append([i for i, yes in zip(ids.as_py(), found, strict=True) if yes])
+        return pa.array(out, pa.list_(pa.int64()))
 
-    a, b = rows.toDF("a", "left"), rows.toDF("b", "right")
-    return cells.join(a, "a").join(b, "b").where(F.arrow_udf(run, "boolean")("left", "right")).select("a", "b")
+    met = packs.join(rows.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+    return met.select(F.explode(F.arrow_udf(run, "array<long>")("names", "left", "right")).alias("a"), "b")
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -183,44 +238,52 @@ def forest(names: list[int], more: list[int], linked: np.ndarray) -> list[tuple[
     return out
 
 
-def dense_links(known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def dense_links(known: DataFrame, rows: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """a, b: links that connect whatever the values of known (value, node) with more than FEW rows can connect."""
     star = known.groupBy("value").agg(F.min("node").alias("b"))
-    cluster = components(known.join(star, "value").select(F.col("node").alias("a"), "b").distinct())
-    sized = rows.join(cluster, "node").withColumn("bytes", F.length("grams"))
-    many = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("bytes") / F.lit(TILE_BYTES))).alias("many"))
+    cluster = components(known.join(star, "value").select(F.col("node").alias("a"), "b").distinct(), tables)
+    sized = rows.select("node", "n").join(cluster, "node")
+    many = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("n") * 8 / F.lit(TILE_BYTES))).alias("many"))
     place = F.struct("comp", F.pmod(F.xxhash64("node"), F.col("many")).alias("k"))
-    placed = cut(cluster.join(many, "comp").select("node", place.alias("place")), "placed")
-    packs = cut(rows.join(placed, "node").groupBy("place").agg(F.collect_list("node").alias("nodes"), F.collect_list("grams").alias("rows")), "packs")
+    placed = tables.cut(cluster.join(many, "comp").select("node", place.alias("place")), "placed")
+    packs = tables.cut(rows.join(placed, "node").groupBy("place").agg(F.collect_list("node").alias("nodes"), F.collect_list("grams").alias("rows")), "packs")
     met = known.join(placed, "node").select("value", "place").distinct()
     tiles = met.toDF("value", "p").join(met.toDF("value", "q"), "value").where("p >= q").select("p", "q").distinct()
 
     def run(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
         out = []
-        for names, left, more, right in zip(a.to_pylist(), x, b.to_pylist(), y, strict=True):
+        for names, left, more, right in zip(a, x, b, y, strict=True):
             sets = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side] for side in (left, right)]
-            out.append([{"a": u, "b": v} for u, v in forest(names, more, tile_links(*sets, percent))])
+            out.append([{"a": u, "b": v} for u, v in forest(names.as_py(), more.as_py(), tile_links(*sets, percent))])
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
     made = F.arrow_udf(run, "array<struct<a:long,b:long>>")
     out = tiles.join(packs.toDF("p", "a", "x"), "p").join(packs.toDF("q", "b", "y"), "q")
-    return out.select(F.inline(made("a", "x", "b", "y")))
+    out = tables.cut(out.select(F.inline(made("a", "x", "b", "y"))), "links")
+    tables.drop(cluster, placed, packs)
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """node, comp for each node of the edges (a, b)."""
-    rest = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    tables = tables or Scratch(edges.sparkSession)
+    rest = tables.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     names = rest.select("a").union(rest.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("comp"))
+    names = tables.cut(names, "comp")
     while not rest.isEmpty():
-        up = cut(rest.groupBy("a").agg(F.min("b").alias("up")).toDF("node", "up"), "up")
+        up = tables.cut(rest.groupBy("a").agg(F.min("b").alias("up")).toDF("node", "up"), "up")
         while True:
             above = up.toDF("up", "above")
             if up.join(above, "up", "left_semi").isEmpty():
                 break
-            up = cut(up.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up")), "up")
-        names = names.join(up.toDF("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        names = cut(names, "comp")
-        rest = cut(_raised(_raised(rest, up).toDF("b", "a"), up).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+            short = tables.cut(up.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up")), "up")
+            tables.drop(up)
+            up = short
+        raised = tables.cut(names.join(up.toDF("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "comp")
+        fewer = tables.cut(_raised(_raised(rest, up).toDF("b", "a"), up).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        tables.drop(names, rest, up)
+        names, rest = raised, fewer
+    tables.drop(rest)
     return names
 
 
@@ -231,63 +294,93 @@ def _raised(edges: DataFrame, up: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs."""
-    return _grouped(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
-
-
-def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """jaccard_groups with node and comp, which names the component whatever ids its rows have."""
-    every = cut(incidence(docs, k, id_col, text_col), "incidence")
-    real = every.where("doc_id is not null and node is not null")
-    classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    values = cut(shared_blocks(real, percent), "blocks")
-    pivots = values.groupBy("value").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("value", "pivot")
-    shared = cut(values.join(pivots, "value").distinct(), "shared")
-    first = cut(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "cells")
-    used = shared.select("node").distinct().join(classes, "node")
-    rows = cut(real.join(used, ["node", "doc_id"]).select("node", "grams"), "rows")
-    found = cut(links(first, rows, percent), "links")
-    comp = components(found)
-    known = shared.select("value", "node").join(comp, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
+    return grouped(docs, k, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """For each row doc_id, h (hash of the text), n, node, comp (names the component whatever ids its rows have), component_id."""
+    tables = Scratch(docs.sparkSession)
+    both = tables.cut(signed(docs, k, percent, id_col, text_col), "signed")
+    every = tables.cut(both.select("doc_id", "h", "n", "node"), "every")
+    # a row that met a pivot in its batch is done; of the others the smallest of each value is the pivot
+    pivot = F.first("node").over(Window.partitionBy("value").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    stars = both.select("node", F.explode("own").alias("value")).select("value", F.col("node").alias("a"), pivot.alias("b"))
+    batch = both.select("node", F.explode("met").alias("m")).select("m.value", F.col("node").alias("a"), F.col("m.pivot").alias("b"))
+    stars = tables.cut(stars.union(batch).where("a <> b"), "stars")
+    tables.drop(both)
+    classes = tables.cut(every.where("doc_id is not null and node is not null").groupBy("node", "n").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("node", "n", "r.*"), "classes")
+    shared = tables.cut(stars.select("value", F.col("a").alias("node")).union(stars.select("value", "b")).distinct(), "shared")
+    first = tables.cut(stars.select("a", "b").distinct(), "cells")
+    tables.drop(stars)
+    used = tables.cut(classes.join(shared.select("node").distinct(), "node"), "used")
+    repeated = every.join(used, ["doc_id", "h"], "left_semi").count() > used.count()
+    rows = tables.cut(gram_rows(docs, used, repeated, k, id_col, text_col), "rows")
+    tables.drop(used)
+    found = tables.cut(links(first, rows, percent), "links")
+    comp = components(found, tables)
+    known = shared.join(comp, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
     open_values = known.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("value", "size")
-    known = cut(known.join(open_values, "value"), "open")
+    known = tables.cut(known.join(open_values, "value"), "open")
+    tables.drop(shared)
     few = known.where(F.col("size") <= FEW).select("value", "node", "comp")
     x, y = few.toDF("value", "a", "ca"), few.toDF("value", "b", "cb")
-    cells = x.join(y, "value").where("a > b and ca <> cb").select("a", "b").distinct()
-    cells = cut(cells.join(first, ["a", "b"], "left_anti"), "cells")
-    more = cut(links(cells, rows, percent), "links")
+    cells = tables.cut(x.join(y, "value").where("a > b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "cells")
+    more = tables.cut(links(cells, rows, percent), "links")
+    tables.drop(first, cells)
     dense = known.where(F.col("size") > FEW).select("value", "node")
     if not dense.isEmpty():
-        more = cut(more.union(dense_links(dense, rows, percent)), "links")
+        tiled = dense_links(dense, rows, percent, tables)
+        both = tables.cut(more.union(tiled), "links")
+        tables.drop(more, tiled)
+        more = both
+    tables.drop(rows, known)
     if not more.isEmpty():
-        comp = components(found.union(more))
-    least = classes.join(comp, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comp.join(least, "comp").select("node", "comp", "component_id")
-    named = classes.join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = every.select("doc_id", "n", "node").join(named, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "node", "comp", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
+        whole = components(found.union(more), tables)
+        tables.drop(comp)
+        comp = whole
+    # classes without a link name themselves
+    named = classes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    named = tables.cut(named, "named")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "comp").select("node", "comp", "component_id")
+    real = every.where("doc_id is not null and node is not null").join(named, "node")
+    none = F.lit(None).cast("long")
+    rest = every.where("doc_id is null or node is null").withColumns({"comp": none, "component_id": F.when(F.col("node").isNull(), F.col("doc_id"))})
+    columns = ["doc_id", "h", "n", "node", "comp", "component_id"]
+    out = tables.cut(real.select(columns).union(rest.select(columns)), "groups")
+    tables.drop_all(out)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of docs: of those with its smallest id that with the smallest node, then text.
 
-    Rows without an id stay, and rows with an empty set of shingles, of which one stays for each id and text.
+    Rows without an id stay, and rows with an empty set of shingles, of which one stays for each id and text; of rows
+    with equal id and text that stays whose columns are smallest as JSON. Columns are those of docs, whatever their names.
     """
-    key = F.col(id_col).cast("long")
-    groups = _grouped(docs, k, percent, id_col, text_col)
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = cut(docs.groupBy(key.alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "again")
+    groups = grouped(docs, k, percent, id_col, text_col).where("doc_id is not null").withColumn("g", F.coalesce("node", "h"))
+    real = groups.where("node is not null")
+    chosen = real.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("r")).select("r.doc_id", F.col("r.node").alias("g"))
+    names = free_names(docs, "id", "hash", "name", "row")
+    text = F.col(f"`{text_col}`").cast("string")
+    key = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)]
+
+    def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        side = if_few(keys.toDF(*names[: len(keys.columns)]))
+        return rows.join(side, (key[0] == F.col(names[0])) & (key[1] == F.col(names[1])), how)
+
+    tables = Scratch(docs.sparkSession)
+    gone = tables.cut(real.select("doc_id", "h", "g").distinct().join(chosen, ["doc_id", "g"], "left_anti").select("doc_id", "h"), "gone")
+    left = groups.join(gone, ["doc_id", "h"], "left_anti")
+    twice = left.groupBy("doc_id", "g").count().where("count > 1")
+    again = tables.cut(left.join(twice, ["doc_id", "g"]).select("doc_id", "h", "g").distinct(), "again")
+    out = met(docs, gone, "left_anti")
     if again.isEmpty():
-        return docs.join(gone, key == F.col("_gone"), "left_anti")
-    # an id that repeats says nothing of a row: its rows are told apart by their nodes
-    alone = docs.join(again, key == F.col("_again"), "left_anti").join(gone, key == F.col("_gone"), "left_anti")
-    made = incidence(docs.join(again, key == F.col("_again"), "left_semi").withColumn("_row", F.struct(*docs.columns)), k, id_col, text_col, "_row")
-    rows = cut(made.select("doc_id", "node", "_row"), "repeated")
-    least = groups.where("node is not null and doc_id = component_id").join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-    least = least.groupBy("comp", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node")
-    real = rows.join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("_row", F.col("_row")[text_col]).alias("_row")).select("_row.*")
-    empty = rows.where("node is null").select("_row.*").dropDuplicates([id_col, text_col])
-    return alone.unionByName(real).unionByName(empty)
+        return out
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = met(out, again, "inner").select(key[0].alias(names[0]), F.col(names[2]), F.struct(text.alias("t"), F.to_json(row).alias("j")).alias(names[1]), row.alias(names[3]))
+    one = one.groupBy(names[0], names[2]).agg(F.min_by(names[3], names[1]).alias(names[3])).select(f"{names[3]}.*")
+    return met(out, again.drop("g"), "left_anti").unionByName(one)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -48,7 +50,55 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
-    """Bound what Arrow gives to a Python worker at once, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+class Scratch:
+    """Tables that are written and read again, and deleted as soon as their successors are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame, what: str = "cut") -> DataFrame:
+        path = new_folder(self.spark, what)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; nothing that is still to run may read them."""
+        for df, path in self._held:
+            if any(df is t for t in tables):
+                drop_folder(self.spark, path)
+        self._held = [(df, path) for df, path in self._held if not any(df is t for t in tables)]
+
+    def drop_all(self, *but: DataFrame) -> None:
+        self.drop(*(df for df, _ in self._held if not any(df is b for b in but)))
+
+
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """Column names that df does not have in any case, one for each base."""
+    have, out = {c.lower() for c in df.columns}, []
+    for b in bases:
+        while b.lower() in have:
+            b += "_"
+        have.add(b.lower())
+        out.append(b)
+    return out
+
+
+def slices(offsets: np.ndarray, size: int = 4 << 20):
+    """(from, to) positions of rows of at most so many bytes together, or of one longer row; offsets: row i's bytes begin at offsets[i]."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+#: Rows up to which a table of ids is broadcast (16 to 32 MB); larger ones are joined by a shuffle.
+FEW_IDS = 1 << 20
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast where they are counted to be few."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
