@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from papyra.llm.store import cut
 
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("block", "com", "/fr/"), ("block", "com", "/de/"))
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that are blocked with all their subdomains where no rule says otherwise.
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = 4
+#: Words of one filter; a longer list is cut into parts by hash.
 MAX_WORDS = 1 << 21
 
 
@@ -64,8 +65,6 @@ def _positions(key: Column, seed: int, bits: int) -> list[Column]:
 def bloom(keys: DataFrame, n: int, seed: int, per_key: float = 10) -> Level:
     """A filter of the column ``key`` of keys, which has about n rows, with so many bits a key."""
     words = max(16, 1 << math.ceil(math.log2(max(1.0, n * per_key / 64))))
-    if words > MAX_WORDS:
-        raise ValueError(f"a filter of {words} words for {n} keys would be too large for a plan; split the list")
     p = F.explode(F.array(*_positions(F.col("key"), seed, 64 * words))).alias("p")
     # bit 63 wraps to the sign; bit_or is partial on the map side
     got = keys.select(p).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("b")).collect()
@@ -76,16 +75,19 @@ def bloom(keys: DataFrame, n: int, seed: int, per_key: float = 10) -> Level:
 
 
 class Cascade:
-    """Exact membership of the keys of a universe in a list."""
+    """Exact membership of the keys of a universe in a list, cut into parts by hash so that no filter outgrows MAX_WORDS."""
 
-    def __init__(self, levels: list[Level]):
-        self.levels = levels
+    def __init__(self, parts: list[list[Level]]):
+        self.parts = parts
 
     def has(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)
-        for i, level in reversed(list(enumerate(self.levels))):
-            out = F.when(level.passes(key), out).otherwise(F.lit(i % 2 == 1))
-        return out
+        found = F.lit(False)
+        for g, levels in enumerate(self.parts):
+            out = F.lit(len(levels) % 2 == 1)
+            for i, level in reversed(list(enumerate(levels))):
+                out = F.when(level.passes(key), out).otherwise(F.lit(i % 2 == 1))
+            found = out if len(self.parts) == 1 else F.when(_part(key, len(self.parts)) == g, out).otherwise(found)
+        return found
 
     @staticmethod
     def build(listed: DataFrame, universe: DataFrame, universe_rows: int) -> Cascade:
@@ -93,16 +95,29 @@ class Cascade:
         inside = listed.where("key is not null").distinct()
         n = inside.count()
         if not n:
-            return Cascade([])
+            return Cascade([[]])
         wrong = min(1e-3, max(n, 1000) / max(1, universe_rows))
         per_key = max(10.0, HASHES / -math.log(1 - wrong ** (1 / HASHES)))
+        parts = math.ceil(n * per_key / 64 / (MAX_WORDS / 2))
+        of = lambda df, g: df if parts == 1 else df.where(_part(F.col("key"), parts) == g)
+        return Cascade([Cascade._levels(of(inside, g), of(universe, g), per_key) for g in range(parts)])
+
+    @staticmethod
+    def _levels(inside: DataFrame, universe: DataFrame, per_key: float) -> list[Level]:
+        n = inside.count()
+        if not n:
+            return []
         levels = [bloom(inside, n, 1, per_key)]
         outside = cut(universe.where(levels[0].passes(F.col("key"))).distinct().join(inside, "key", "left_anti"), "cascade")
         sides = [outside, inside]
         while m := sides[0].count():
             levels.append(bloom(sides[0], m, len(levels) + 1))
             sides = [sides[1].where(levels[-1].passes(F.col("key"))), sides[0]]
-        return Cascade(levels)
+        return levels
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
 
 
 def _literals(spark: SparkSession, values: Sequence[str]) -> DataFrame:
@@ -112,7 +127,7 @@ def _literals(spark: SparkSession, values: Sequence[str]) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed_hosts: Sequence[str] = LISTED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages."""
     spark = pages.sparkSession
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     base = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     def keys(shapes) -> list[Column]:
@@ -142,14 +157,22 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    fits = lambda h, p: f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')"
-    by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    rule = " ".join(f"when {fits(h, p)} then '{h + p}'" for _, h, p in by_length)
-    verdict = " ".join(f"when {fits(h, p)} then '{a}'" for a, h, p in by_length)
+    """The five rules are written out by hand, longest first, so that the SQL doesn't depend on RULES."""
     listed = " or ".join(f"host = '{h}' or host like '%.{h}'" for h in LISTED_HOSTS)
     return f"""
 with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as r from pages),
 split as (select page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') as host,
-  coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') as path from rest)
-select page_id, host, path, case {rule} end as rule,
-  case {verdict} when {listed} then 'block' else 'allow' end as verdict from split"""
+  coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') as path from rest),
+fit as (select *, host = 'example.org' or host like '%.example.org' as example_org, host = 'org' or host like '%.org' as org, host = 'com' or host like '%.com' as com from split)
+select page_id, host, path,
+  case when example_org and starts_with(path, '/en/1') then 'example.org/en/1'
+    when example_org and starts_with(path, '/es/') then 'example.org/es/'
+    when com and starts_with(path, '/fr/') then 'com/fr/'
+    when com and starts_with(path, '/de/') then 'com/de/'
+    when org and starts_with(path, '/') then 'org/' end as rule,
+  case when example_org and starts_with(path, '/en/1') then 'block'
+    when example_org and starts_with(path, '/es/') then 'block'
+    when com and starts_with(path, '/fr/') then 'allow'
+    when com and starts_with(path, '/de/') then 'block'
+    when org and starts_with(path, '/') then 'allow'
+    when {listed} then 'block' else 'allow' end as verdict from fit"""
