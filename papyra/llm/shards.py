@@ -10,24 +10,28 @@ A version of the table is one manifest, a text file with a line for each shard.
 complete manifest to its number, which fails if that number exists: of two writers one wins and the other has changed
 nothing that readers see. Shards are never changed; those that no version names are garbage.
 
-All rows and columns are kept as they are: nulls, repeated rows, long texts. An empty table gives a version without rows.
+All rows and columns are kept as they are: nulls, repeated rows, long texts. The manifest's first line is the table's
+schema, the union of all arrivals': a column that only some of them have is null in the others' rows, and an arrival whose
+column has another type than the table's is refused. An empty table gives a version without rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from papyra.llm.store import new_folder
 
 TARGET = 128 << 20
 FANOUT = 4
-#: Files that one job writes at most, so that plans stay small.
-WAVE = 64
+#: Files that one job writes at most, so that plans stay small, and jobs that run side by side.
+WAVE, SIDE_BY_SIDE = 64, 8
 
 
 def plan_merges(sizes: list[int], target: int = TARGET, fanout: int = FANOUT, least: int = 1 << 16) -> list[list[int]]:
@@ -86,6 +90,14 @@ class ShardedTable:
 
     def shards(self, version: int | None = None) -> list[dict]:
         """path and bytes of each shard of a version, by default the newest."""
+        return [x for x in self._lines(version) if "path" in x]
+
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of a version, by default the newest."""
+        found = [x["schema"] for x in self._lines(version) if "schema" in x]
+        return StructType.fromJson(found[0]) if found else StructType()
+
+    def _lines(self, version: int | None) -> list[dict]:
         have = self.versions()
         if not have:
             return []
@@ -97,12 +109,12 @@ class ShardedTable:
             stream.close()
         return [json.loads(x) for x in text.splitlines()]
 
-    def _commit(self, shards: list[dict], parent: int) -> int:
+    def _commit(self, schema: StructType, shards: list[dict], parent: int) -> int:
         temporary = self._path(new_folder(self.spark, "manifest"))
         temporary = self._path(f"{self.root}/manifest/.{temporary.getName()}")
         out = self._fs.create(temporary, False)
         try:
-            out.write(bytearray("".join(json.dumps(s) + "\n" for s in shards).encode()))
+            out.write(bytearray("".join(json.dumps(s) + "\n" for s in [{"schema": schema.jsonValue()}, *shards]).encode()))
         finally:
             out.close()
         fc = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf)
@@ -118,34 +130,48 @@ class ShardedTable:
     def append(self, rows: DataFrame) -> int:
         """Write rows as new shards and commit them."""
         have = self.versions()
+        schema = union_schema(self.schema(), rows.schema)
         folder = new_folder(self.spark, "arrivals").rpartition("/")[2]
         folder = f"{self.root}/shards/{folder}"
         rows.write.option("compression", "zstd").parquet(folder)
-        return self._commit(self.shards() + self._written(folder), have[-1] if have else 0)
+        return self._commit(schema, self.shards() + self._written(folder), have[-1] if have else 0)
 
     def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int:
         """Merge similarly sized shards and commit; the newest version, if there is nothing to merge."""
         version = self.versions()[-1]
-        shards = self.shards(version)
+        shards, schema = self.shards(version), self.schema(version)
         groups = plan_merges([s["bytes"] for s in shards], target, fanout)
         if not groups:
             return version
-        schema = self.spark.read.parquet(shards[0]["path"]).schema
-        made: list[dict] = []
-        for k in range(0, len(groups), WAVE):
+
+        def wave(k: int) -> list[dict]:
             folder = f"{self.root}/shards/" + new_folder(self.spark, "merged").rpartition("/")[2]
             parts = [self.spark.read.schema(schema).parquet(*[shards[i]["path"] for i in g]).coalesce(1) for g in groups[k : k + WAVE]]
             reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
-            made += self._written(folder)
+            return self._written(folder)
+
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            made = [x for found in pool.map(wave, range(0, len(groups), WAVE)) for x in found]
         gone = {i for g in groups for i in g}
-        return self._commit([s for i, s in enumerate(shards) if i not in gone] + made, version)
+        return self._commit(schema, [s for i, s in enumerate(shards) if i not in gone] + made, version)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version; None if it has no shard."""
         paths = [s["path"] for s in self.shards(version)]
-        if not paths:
-            return None
-        return self.spark.read.schema(self.spark.read.parquet(paths[0]).schema).parquet(*paths)
+        return self.spark.read.schema(self.schema(version)).parquet(*paths) if paths else None
+
+
+def union_schema(have: StructType, more: StructType) -> StructType:
+    """have with the columns that only more has; every column may be null."""
+    known = {f.name.lower(): f for f in have.fields}
+    out = StructType(list(have.fields))
+    for f in more.fields:
+        old = known.get(f.name.lower())
+        if old is None:
+            out.add(f.name, f.dataType, True)
+        elif old.dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {f.dataType.simpleString()} and the table's is {old.dataType.simpleString()}")
+    return out
 
 
 def shard(docs: DataFrame, root: str | None = None, target: int = TARGET, fanout: int = FANOUT, id_col: str = "doc_id") -> DataFrame:
@@ -155,7 +181,7 @@ def shard(docs: DataFrame, root: str | None = None, target: int = TARGET, fanout
     version = table.compact(target, fanout)
     rows = table.read(version)
     where = rows.metadataColumn("_metadata")
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract(where["file_path"], "([^/]+/[^/]+)$", 1).alias("shard"), where["file_size"].alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
+    return rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.regexp_extract(where["file_path"], "([^/]+/[^/]+)$", 1).alias("shard"), where["file_size"].alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
