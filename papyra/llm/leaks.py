@@ -9,8 +9,10 @@ Most words can't belong to a match of the shortest window's length: before the a
 whose neighbouring pairs all occur in items are found on whole Arrow batches, and only runs of at least that length
 are read; elsewhere the tracked match is too short by construction.
 
-Items are read in groups of at most ``max_item_bytes`` of text; each group is one automaton and one pass, so the
-broadcast is bounded whatever the benchmark's size, and the hits of all groups are united.
+Items are read in groups of about ``max_item_bytes`` of text (a longer item is a group of its own). The driver builds one group's
+automaton at a time and keeps it as flat arrays. As many groups as fit in ``max_pass_bytes`` of arrays, which are
+measured, make one pass over the documents; a larger benchmark takes several passes, each of which adds its hits to a written
+table, so neither driver nor workers ever hold more than one pass's arrays.
 
 Null or empty texts have no words and no hits; null or wordless items have no windows. An id that repeats with
 another text owns the windows of all its texts, items without an id count as one item whose id is null, and
@@ -20,28 +22,33 @@ repeated items count once. Rows of documents map one to one, and their other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import small_batches
-from papyra.llm.words import ALNUM_WORDS, Words
+from papyra.llm.store import Scratch, free_names, slices
+from papyra.llm.words import ALNUM_WORDS, Words, buffers
 
 WINDOW = 10
-MAX_ITEM_BYTES = 32 << 20
+MAX_ITEM_BYTES, MAX_PASS_BYTES = 1 << 20, 128 << 20
 #: A document goes whole if more than this share of its words is hit.
 MAX_COVERAGE = 0.5
 FOUND = "n_words long, spans array<struct<start:long,stop:long>>, item_ids array<long>"
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, each with its item, and the windows that end in each state."""
+    """Suffix automaton of several word sequences, each with its item, and the windows that end in each state.
 
-    def __init__(self, items: list[tuple[int | None, list[int]]], window: int):
-        self.window = window
+    It is built from dictionaries and kept as flat arrays: transitions as sorted keys ``state * words + word``.
+    """
+
+    def __init__(self, items: list[tuple[int | None, list[int]]], window: int, words: int):
+        self.window, self.words = window, max(1, words)
         self.next, self.link, self.length = [{}], [-1], [0]
         owners: list[set[int | None]] = [set()]
         for item, seq in items:
@@ -57,7 +64,13 @@ class Automaton:
         for s in order[1:]:
             up = self.link[s]
             self.full[s] = self.full[up] if self.full[up] >= 0 else s if self.length[s] >= window else -1
-        self.owners = {s: frozenset(owners[s]) for s in set(self.full) - {-1}}
+        #: items whose windows end in a state: runs of owned, by position in the sorted holders
+        holders = sorted(set(self.full) - {-1})
+        self.holders, self.owned, self.ends = array("q", holders), [], array("q", [0])
+        for s in holders:
+            self.owned += owners[s]
+            self.ends.append(len(self.owned))
+        self.owned = np.array([(-1 if x is None else x) for x in self.owned], np.int64), np.array([x is None for x in self.owned], bool)
         #: whole items of fewer words: state -> words -> items
         self.short: dict[int, dict[int, set[int | None]]] = {}
         for item, seq in items:
@@ -66,6 +79,20 @@ class Automaton:
                 for w in seq:
                     s = self.next[s][w]
                 self.short.setdefault(s, {}).setdefault(len(seq), set()).add(item)
+        moves = sorted((s * self.words + w, to) for s, out in enumerate(self.next) for w, to in out.items())
+        self.keys, self.to = array("q", [k for k, _ in moves]), array("i", [t for _, t in moves])
+        self.link, self.length, self.full = array("i", self.link), array("i", self.length), array("i", self.full)
+        del self.next
+
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        held = (self.keys, self.to, self.link, self.length, self.full, self.holders, self.ends)
+        return sum(x.itemsize * len(x) for x in held) + 9 * len(self.owned[0]) + 200 * len(self.short)
+
+    def items_of(self, state: int) -> list[int | None]:
+        at = bisect_left(self.holders, state)
+        ids, none = (x[self.ends[at] : self.ends[at + 1]].tolist() for x in self.owned)
+        return [None if n else i for i, n in zip(ids, none, strict=True)]
 
     def _extend(self, last: int, w: int, owners: list) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -102,23 +129,31 @@ class Automaton:
 
     def read(self, words: Iterable[int]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Spans of word positions (from, to) that are hit, and the items whose windows occur."""
-        nxt, link, length, full, short, window = self.next, self.link, self.length, self.full, self.short, self.window
+        keys, to, link, length, full, short, window = self.keys, self.to, self.link, self.length, self.full, self.short, self.window
         spans: list[tuple[int, int]] = []
         found: set[int | None] = set()
+        ended: set[int] = set()
         s = n = 0
+        last = len(keys)
         for i, w in enumerate(words):
-            while s and w not in nxt[s]:
+            while True:
+                key = s * self.words + w
+                at = bisect_left(keys, key)
+                if at < last and keys[at] == key:
+                    s = to[at]
+                    n += 1
+                    break
+                if not s:
+                    n = 0
+                    break
                 s = link[s]
                 n = length[s]
-            if w in nxt[s]:
-                s = nxt[s][w]
-                n += 1
-            else:
+            if not n:
                 continue
             size = 0
             if n >= window and full[s] >= 0:
                 size = window
-                found |= self.owners[full[s]]
+                ended.add(full[s])
             if short:
                 t = s
                 while t > 0:
@@ -132,6 +167,8 @@ class Automaton:
                 while spans and spans[-1][1] >= a:
                     a = min(a, spans.pop()[0])
                 spans.append((a, i + 1))
+        for s in ended:
+            found.update(self.items_of(s))
         return spans, found
 
 
@@ -142,7 +179,7 @@ class Matcher:
         w = Words(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS)
         self.vocabulary, codes = np.unique(w.hashes, return_inverse=True)
         seqs = [(i, codes[w.first[k] : w.first[k + 1]].tolist()) for k, (i, _) in enumerate(items) if w.first[k + 1] > w.first[k]]
-        self.automaton = Automaton(seqs, window)
+        self.automaton = Automaton(seqs, window, len(self.vocabulary))
         self.least = min((min(window, len(x)) for _, x in seqs), default=0)
         inside = np.ones(max(0, len(codes) - 1), bool)
         cut = w.first[1:-1]
@@ -153,6 +190,9 @@ class Matcher:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.vocabulary >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
+    def size(self) -> int:
+        return self.automaton.size() + self.vocabulary.nbytes + self.pairs.nbytes + self.seen.nbytes
+
     def runs(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all words (-1: in no item), and first word and length of each run to read."""
         code = np.full(len(w.hashes), -1, np.int64)
@@ -209,73 +249,119 @@ def _last(item: int | None) -> tuple[bool, int]:
     return item is None, item or 0
 
 
-def matchers(benchmark: DataFrame, window: int, max_item_bytes: int, id_col: str, text_col: str) -> list[Matcher]:
+def matchers(benchmark: DataFrame, window: int, max_item_bytes: int, id_col: str, text_col: str) -> Iterator[Matcher]:
     """One for each group of items; the driver holds one group's texts at a time."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
+    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     groups = -(-total // max_item_bytes) if total else 0
-    out = []
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(groups)) == g).collect()
-        out.append(Matcher(sorted(((r.i, r.t) for r in part), key=lambda x: (_last(x[0]), x[1])), window))
-    return out
+        if part:
+            yield Matcher(sorted(((r.i, r.t) for r in part), key=lambda x: (_last(x[0]), x[1])), window)
+
+
+def passes(found: Iterator[Matcher], max_pass_bytes: int) -> Iterator[list[Matcher]]:
+    """Lists of matchers whose arrays fit in max_pass_bytes together; at least one list, which may be empty."""
+    held: list[Matcher] = []
+    total = 0
+    for m in found:
+        if held and total + m.size() > max_pass_bytes:
+            yield held
+            held, total = [], 0
+        held.append(m)
+        total += m.size()
+    yield held
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, max_item_bytes: int, text_col: str, item_col: str, item_text_col: str, cleaned: bool) -> DataFrame:
-    """docs with a column ``_leaks``: words, hit spans (in words), items and, if asked for, the text without them."""
-    spark = docs.sparkSession
-    small_batches(spark, 4096)
-    found = [spark.sparkContext.broadcast(m) for m in matchers(benchmark, window, max_item_bytes, item_col, item_text_col)]
-    kind = FOUND + (", cleaned string" if cleaned else "")
+def _scanner(docs: DataFrame, found: list[Matcher]):
+    """A UDF of a text and its earlier hits, if there are any."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
-    def scan(text: pa.Array) -> pa.Array:
-        w = Words(text, ALNUM_WORDS, spans=cleaned)
+    def part(text: pa.Array, before) -> pa.StructArray:
+        w = Words(text, ALNUM_WORDS)
         hits: dict[int, tuple[list, set]] = {}
-        for m in found:
-            for d, (spans, items) in m.value.scan(w).items():
+        if before is not None:
+            for d, x in enumerate(before.to_pylist()):
+                if x["spans"]:
+                    hits[d] = [(y["start"], y["stop"]) for y in x["spans"]], set(x["item_ids"])
+        for m in shared.value:
+            for d, (spans, items) in m.scan(w).items():
                 a, b = hits.setdefault(d, ([], set()))
                 a += spans
                 b |= items
         spans = [[{"start": x, "stop": y} for x, y in merged(hits[d][0])] if d in hits else [] for d in range(len(w))]
         items = [sorted(hits[d][1], key=_last) if d in hits else [] for d in range(len(w))]
         cols = [pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
-        names = ["n_words", "spans", "item_ids"]
-        if cleaned:
-            texts = []
-            for d in range(len(w)):
-                if d not in hits:
-                    texts.append(None)
-                    continue
-                lo, hi, f = int(w.offsets[d]), int(w.offsets[d + 1]), int(w.first[d])
-                kept, at = [], lo
-                for x, y in merged(hits[d][0]):
-                    kept.append(bytes(w.raw[at : w.starts[f + x]]))
-                    at = int(w.ends[f + y - 1])
-                kept.append(bytes(w.raw[at:hi]))
-                texts.append(b"".join(kept).decode())
-            cols.append(pa.array(texts, pa.string()))
-            names.append("cleaned")
-        return pa.StructArray.from_arrays(cols, names=names)
-
-    return docs.withColumn("_leaks", F.arrow_udf(scan, kind)(F.col(text_col).cast("string")))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+        return pa.StructArray.from_arrays(cols, names=["n_words", "spans", "item_ids"])
+
+    def run(text: pa.Array, before) -> pa.Array:
+        done = [part(text.slice(lo, hi - lo), None if before is None else before.slice(lo, hi - lo)) for lo, hi in slices(buffers(text)[1], 8 << 20)]
+        return pa.concat_arrays(done) if done else part(text, before)
+
+    def first(text: pa.Array) -> pa.Array:
+        return run(text, None)
+
+    def later(text: pa.Array, before: pa.Array) -> pa.Array:
+        return run(text, before)
+
+    return F.arrow_udf(first, FOUND), F.arrow_udf(later, FOUND)
+
+
+def _without(text: pa.Array, found: pa.Array) -> pa.Array:
+    """Texts without the words of found's spans; null where there are none."""
+    w = Words(text, ALNUM_WORDS, spans=True)
+    out: list[str | None] = []
+    for d, spans in enumerate(found.field("spans").to_pylist()):
+        if not spans:
+            out.append(None)
+            continue
+        lo, hi, f = int(w.offsets[d]), int(w.offsets[d + 1]), int(w.first[d])
+        kept, at = [], lo
+        for x in spans:
+            kept.append(bytes(w.raw[at : w.starts[f + x["start"]]]))
+            at = int(w.ends[f + x["stop"] - 1])
+        kept.append(bytes(w.raw[at:hi]))
+        out.append(b"".join(kept).decode())
+    return pa.array(out, pa.string())
+
+
+def _hits(docs: DataFrame, name: str, found: Iterator[Matcher], text_col: str, max_pass_bytes: int) -> DataFrame:
+    """docs with a column ``name``: words, hit spans (in words) and items."""
+    tables, out, before = Scratch(docs.sparkSession), docs, None
+    text = F.col(f"`{text_col}`").cast("string")
+    lists = passes(found, max_pass_bytes)
+    here = next(lists)
+    while here is not None:
+        first, later = _scanner(docs, here)
+        out = out.withColumn(name, first(text) if before is None else later(text, F.col(name)))
+        here = next(lists, None)
+        if here is not None:  # the next pass must not hold this one's arrays
+            written = tables.cut(out, "leaks")
+            if before is not None:
+                tables.drop(before)
+            out = before = written
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, max_pass_bytes: int = MAX_PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans (word positions that are hit), item_ids (items with occurring windows)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _hits(rows, benchmark, window, max_item_bytes, "text", item_col, item_text_col, False).select("doc_id", "_leaks.*")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = matchers(benchmark, window, max_item_bytes, item_col, item_text_col)
+    return _hits(rows, "leaks", found, "text", max_pass_bytes).select("doc_id", "leaks.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_item_bytes: int = MAX_ITEM_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_item_bytes: int = MAX_ITEM_BYTES, max_pass_bytes: int = MAX_PASS_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the hit spans; a document goes whole if more than max_coverage of its words is hit.
 
-    Other columns stay, except that ``n_chars``, where there is one, counts the new text.
+    Other columns stay, whatever their names, except that ``n_chars``, where there is one, counts the new text.
     """
-    out = _hits(docs, benchmark, window, max_item_bytes, text_col, item_col, item_text_col, True)
-    hit = F.aggregate("_leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
-    out = out.where(hit <= F.lit(max_coverage) * F.col("_leaks.n_words"))
-    out = out.withColumn(text_col, F.coalesce("_leaks.cleaned", F.col(text_col))).drop("_leaks")
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    (name,) = free_names(docs, "leaks")
+    out = _hits(docs, name, matchers(benchmark, window, max_item_bytes, item_col, item_text_col), text_col, max_pass_bytes)
+    text = F.col(f"`{text_col}`")
+    hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    out = out.where(hit <= F.lit(max_coverage) * F.col(f"{name}.n_words"))
+    out = out.withColumn(text_col, F.coalesce(F.arrow_udf(_without, "string")(text.cast("string"), F.col(name)), text)).drop(name)
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
