@@ -18,7 +18,8 @@ Up to ``MAX_LANGS`` languages have one dense model. More are held in blocks of s
 that its documents have; the work for a page and the tables of declared values grow with the number of languages.
 
 Null or empty html has no text evidence and no declaration, null urls have the empty host: such pages get what the
-other parts say, at last the shares of all pages. Repeated rows are pages of their own. Without any document with a language lang is null.
+other parts say, at last the shares of all pages. Repeated rows are pages of their own, and of
+languages with equal posteriors the first by name wins. Without any document with a language lang is null.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import cut, small_batches
+from papyra.llm.store import cut
 from papyra.llm.urls import host_of
 from papyra.llm.words import buffers
 
@@ -39,12 +40,44 @@ PIECE = 1 << 20
 EVIDENCE = 24.0
 #: Languages of one dense model, or of a block.
 MAX_LANGS = 256
-_GONE = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
-_LANG = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
+#: Numbers of a table of hosts, domains or suffixes up to which it is broadcast (8 bytes each); a larger one is joined by a shuffle.
+BROADCAST_CELLS = 1 << 20
+_ENTITY = re.compile(r"&#?\w+;")
+_ELEMENT = re.compile(r"<(script|style|template|noscript)\b", re.I)
+_CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "noscript")}
+_HTML, _LANG = r"(?is)<html\b([^>]*)", r"(?is)\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
 
 
 def visible(html: str) -> str:
-    return _GONE.sub(" ", html)
+    """html without elements that aren't shown, comments, tags and entities, in time linear in its length.
+
+    What is never closed is looked for once: an unclosed element or comment is a tag, an unclosed tag is text.
+    """
+    out, at, n = [], 0, len(html)
+    open_for_good: set[str] = set()
+    while at < n:
+        here = html.find("<", at)
+        if here < 0:
+            break
+        end = -1
+        if (m := _ELEMENT.match(html, here)) and (name := m[1].lower()) not in open_for_good:
+            if closed := _CLOSING[name].search(html, m.end()):
+                end = closed.end()
+            else:
+                open_for_good.add(name)
+        if end < 0 and "!" not in open_for_good and html.startswith("<!--", here):
+            end = html.find("-->", here + 4) + 3
+            if end < 3:
+                open_for_good.add("!")
+                end = -1
+        if end < 0:
+            end = html.find(">", here) + 1
+            if not end:
+                break
+        out.append(html[at:here])
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(" ", " ".join(out))
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
@@ -93,7 +126,6 @@ class Sparse:
 
 def text_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[Dense] | list[Sparse]]:
     """Languages by name, and the models of their blocks in that order, from all documents that have a language."""
-    small_batches(docs.sparkSession)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -153,12 +185,6 @@ def text_evidence(html: Column, spark: SparkSession, models: list[Dense] | list[
     return F.arrow_udf(run, "array<double>")(html)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
-
-
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
 
@@ -168,8 +194,8 @@ def _shares(logs: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
-def _many_shares(n: int):
-    """_softmax for many languages: nested array functions would repeat their inner ones for each element."""
+def _posterior(n: int):
+    """Softmax of each row's logs."""
 
     def run(logs: pa.Array) -> pa.Array:
         return pa.array(list(_shares(_matrix(logs, n))), pa.list_(pa.float64()))
@@ -177,8 +203,12 @@ def _many_shares(n: int):
     return F.arrow_udf(run, "array<double>")
 
 
-def _many_fused(prior: list[float], strength: float):
-    """identify's posterior for many languages: position of the best, its probability, position of the text's best."""
+def _fused(prior: list[float], strength: float):
+    """identify's posterior: position of the best (of equal ones the first), its probability, position of the text's best.
+
+    A page's own soft counts are taken out of its host's, domain's and suffix's. The host's prior holds its suffix
+    already as far as the host's own pages say so; the suffix counts for the rest.
+    """
     base = np.array(prior)
 
     def run(ll: pa.Array, p: pa.Array, by_host: pa.Array, by_domain: pa.Array, by_suffix: pa.Array, said: pa.Array) -> pa.Array:
@@ -208,55 +238,34 @@ def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, stre
     """page_id, lang, probability, declared, suffix, host and text_lang (by the text alone) for each page."""
     spark = pages.sparkSession
     names, models = text_models(docs, text_col, lang_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{html_col}`").cast("string").alias("h"))
     host = F.regexp_replace(host_of(F.col("u")), ":\\d*$", "")
-    found = F.lower(F.regexp_extract("h", _LANG, 1))
+    # the first <html> tag alone, so that hostile markup is read once
+    found = F.lower(F.regexp_extract(F.regexp_extract("h", _HTML, 1), _LANG, 1))
     rows = rows.select("page_id", "h", host.alias("host"), F.when(found.isin(names), found).alias("declared"))
     rows = rows.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
     if not names:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host", F.lit(None).cast("string").alias("text_lang"))
     n = len(names)
     rows = rows.withColumn("ll", text_evidence(F.col("h"), spark, models, evidence)).drop("h")
-    softmax = _softmax if n <= MAX_LANGS else _many_shares(n)
-    rows = cut(rows.withColumn("p", softmax(F.col("ll"))), "langid")
+    rows = cut(rows.withColumn("p", _posterior(n)("ll")), "langid")
     every = _sums(rows, n).first()
     every = [float(x or 0.0) for x in every.s] if every and every.s else [0.0] * n
     total = sum(every)
     prior = [(x + 1.0) / (total + n) for x in every]  # all pages, smoothed towards equal shares
-
-    base = F.array(*map(F.lit, prior)) if n <= MAX_LANGS else None
-
-    def less(counts: Column) -> Column:
-        """Soft counts without the page's own."""
-        return F.zip_with(counts, F.col("p"), lambda c, x: F.greatest(F.lit(0.0), c - x))
-
-    def smoothed(counts: Column, towards: Column) -> Column:
-        size = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(counts, towards, lambda c, q: (c + F.lit(strength) * q) / (size + F.lit(strength)))
-
-    tables = {c: _sums(rows, n, c).withColumnRenamed("s", f"by_{c}") for c in ("host", "domain", "suffix")}
     out = rows
-    for c, t in tables.items():
-        out = out.join(t, c, "left")
+    for c in ("host", "domain", "suffix"):
+        table = cut(_sums(rows, n, c).withColumnRenamed("s", f"by_{c}"), f"langid-{c}")
+        out = out.join(F.broadcast(table) if table.count() * n <= BROADCAST_CELLS else table, c, "left")
     by_declared = {r.declared: list(r.s) for r in _sums(rows.where("declared is not null"), n, "declared").collect()}
     some = [sum(v[i] for v in by_declared.values()) for i in range(n)]
     table = {d: [float(np.log((v[i] + 0.5) / (some[i] + 0.5 * (len(by_declared) + 1)))) for i in range(n)] for d, v in by_declared.items()}
     out = out.join(F.broadcast(spark.createDataFrame(list(table.items()), "declared string, said array<double>")), "declared", "left")
-    said = F.coalesce("said", F.array_repeat(F.lit(0.0), n))
-    if n > MAX_LANGS:
-        out = out.withColumn("said", said).withColumn("r", _many_fused(prior, strength)("ll", "p", "by_host", "by_domain", "by_suffix", "said"))
-        name = F.array(*map(F.lit, names))
-        return out.select("page_id", F.get(name, F.col("r.best")).alias("lang"), F.col("r.probability").alias("probability"), "declared", "suffix", "host", F.get(name, F.col("r.text_best")).alias("text_lang"))
-    host_prior = smoothed(less(F.col("by_host")), smoothed(less(F.col("by_domain")), base))
-    # P(suffix | language) up to a constant: P(language | suffix) / P(language)
-    ending = F.zip_with(smoothed(less(F.col("by_suffix")), base), base, lambda a, b: F.ln(a / b))
-    # the host's prior holds its suffix already as far as the host's own pages say so; the suffix counts for the rest
-    weight = F.lit(strength) / (F.lit(strength) + F.aggregate(less(F.col("by_host")), F.lit(0.0), lambda a, b: a + b))
-    logs = F.zip_with(F.zip_with(F.col("ll"), said, lambda a, b: a + b), F.zip_with(host_prior, ending, lambda a, b: F.ln(a) + weight * b), lambda a, b: a + b)
-    out = out.withColumn("post", _softmax(logs))
+    said = F.coalesce("said", F.array_repeat(F.lit(0.0), n)).alias("said")
+    post = _fused(prior, strength)(*("ll", "p", "by_host", "by_domain", "by_suffix", "said"))
+    out = out.select("page_id", "declared", "suffix", "host", "ll", "p", "by_host", "by_domain", "by_suffix", said).withColumn("r", post)
     name = F.array(*map(F.lit, names))
-    best = lambda c: F.get(name, F.array_position(c, F.array_max(c)).cast("int") - 1)
-    return out.select("page_id", best(F.col("post")).alias("lang"), F.array_max("post").alias("probability"), "declared", "suffix", "host", best(F.col("ll")).alias("text_lang"))
+    return out.select("page_id", F.get(name, F.col("r.best")).alias("lang"), F.col("r.probability").alias("probability"), "declared", "suffix", "host", F.get(name, F.col("r.text_best")).alias("text_lang"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
