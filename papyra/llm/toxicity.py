@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import small_batches
-from papyra.llm.words import SPACE_WORDS, Words, mix
+from papyra.llm.store import slices
+from papyra.llm.words import SPACE_WORDS, Words, buffers, mix
 
 BITS = 20
 PREFIXES = (4, 5)
@@ -177,6 +177,9 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], confirmed: l
 
 def score_batch(text: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     """The model's probability for each text; equals the sum over columns_of(text), columns without weight passed over."""
+    ends = buffers(text)[1]
+    if ends[-1] - ends[0] > 8 << 20 and len(text) > 1:
+        return np.concatenate([score_batch(text.slice(lo, hi - lo), weight, bias) for lo, hi in slices(ends)])
     w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
     used = weight != 0
     used |= used[again(np.arange(1 << BITS))]
@@ -199,7 +202,6 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Weights and bias from the training rows of labels and from other training documents."""
-    small_batches(docs.sparkSession, 4096)
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     known = known.where(~is_held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     toxic, rows = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> Column:
     """A column with the score of docs' text, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return F.arrow_udf(lambda t: pa.array(score_batch(t, *shared.value), pa.float64()), "double")(F.col(text_col).cast("string"))
+    return F.arrow_udf(lambda t: pa.array(score_batch(t, *shared.value), pa.float64()), "double")(F.col(f"`{text_col}`").cast("string"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
@@ -242,7 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows of docs with a score under 0.5, all columns as they are."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
-    return docs.withColumn("_toxic", scored(docs, model, text_col)).where(F.col("_toxic") < 0.5).drop("_toxic")
+    return docs.where(scored(docs, model, text_col) < 0.5)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
