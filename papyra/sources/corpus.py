@@ -118,3 +118,28 @@ obs_i as (select *, {STATE} as state from reg, (values (1), (2), (3), (4), (5))
 obs as (select {PLAIN}, state, case when state = 'present' then {RAW} end as value, sha256(document_id) as artifact_sha256 from obs_i),
 masks as ({MASKS}), entries as ({ENTRIES}), elements as ({ELEMENTS})
 """
+
+
+#: Spans of templated documents: labels and values near their places in version 1, some moved, missing or changed, and table cells.
+SPANS = """select document_id, o_orderkey, tenant_id, page_count, ord * 10 as ord, page, label_text_ as text, lx0 + o_orderkey % 4 as x0, y0 + o_orderkey % 3 as y0, lx0 + 45 + o_orderkey % 4 as x1, y1 + o_orderkey % 3 as y1,
+    cast(60 + (o_orderkey + ord) % 40 as double) / 100e0 as confidence from (select *, case when o_orderkey % 31 = 0 and ord = 3 then concat('X', label_text) else label_text end as label_text_ from {placed}) a
+  where label_text is not null and (o_orderkey + ord) % 29 <> 0
+ union all select document_id, o_orderkey, tenant_id, page_count, ord * 10 + n, page, concat('v', ord, '-', n, '-', o_orderkey % 1000), x0 + 3 + 30 * (n % 2) + o_orderkey % 4, y0 + 1 + o_orderkey % 3 - (n // 2) * 0e0, x0 + 28 + 30 * (n % 2) + o_orderkey % 4, y0 + 9 + o_orderkey % 3,
+    cast(40 + (o_orderkey * 7 + ord * 13 + n) % 60 as double) / 100e0 from {placed} b, (values (1), (2)) as n(n)
+  where kind = 'value_region' and (o_orderkey + ord) % 11 <> 0 and (n = 1 or (o_orderkey + ord) % 5 = 0)
+ union all select document_id, o_orderkey, tenant_id, page_count, ord * 10 + n, page, concat('c', n), x0 + 40 * n, y1 - 14e0, x0 + 40 * n + 30, y1 - 2e0, 0.9e0
+  from {placed} c, (values (1), (2), (3), (4)) as n(n) where kind = 'table' and n <= 2 + o_orderkey % 5"""
+PLACED = """select document_id, o_orderkey, tenant_id, page_count, e.*, case when e.kind = 'label' then e.x0 else e.x0 - 50 end as lx0
+  from {reg} r join {elements} e on r.template_id = e.template_id and e.template_version = 1"""
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PLACED, reg=registered(spark, sf_dir), elements=elements(spark))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPANS.replace("//", "div"), placed=placed(spark, sf_dir))
+
+
+WITH_SPANS = WITH.rstrip() + f""", placed as ({PLACED.format(reg="reg", elements="elements")}), spans as ({SPANS.format(placed="placed")})
+"""
