@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from papyra.operators import extraction, mapping, reading, retrieval
+from papyra.operators import extraction, lineage, mapping, reading, retrieval, validation
 
-MODULES = (reading, mapping, extraction, retrieval)
+MODULES = (reading, mapping, validation, extraction, lineage, retrieval)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
