@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.text import tokens
+
 # Formats that readers of prompts parse.
 PHRASE, DEFUSED = "RETRIEVED DATA", "RETRIEVED-DATA"
 RULE = (
@@ -21,16 +23,12 @@ BASE, FACTOR, CAP, ATTEMPTS = 1.0, 2.0, 60.0, 5
 CHARS_A_TOKEN = 4
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda x: x != "")
-
-
 def structural_chunks(rows: DataFrame, doc: Column, element: Column, text: Column, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """chunk_id, chunk: windows of words; the last one is the first that reaches the end. Blank texts have none."""
     if window < 1 or not 0 <= overlap < window:
         raise ValueError(f"window {window} and overlap {overlap} don't fit")
     stride = window - overlap
-    cut = rows.select(doc.alias("doc"), element.alias("element"), words(text).alias("w"))
+    cut = rows.select(doc.alias("doc"), element.alias("element"), tokens(text).alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - window) / stride)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * stride + 1, window), " "))
     made = cut.where(F.size("w") > 0).select("doc", "element", F.posexplode(parts).alias("i", "chunk"))
@@ -44,18 +42,20 @@ def hash_embedding(text: Column, dimension: int) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if either norm is 0."""
+    """0 if either norm is 0; unequal dimensions are an error."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
+    unequal = F.raise_error(F.lit("vectors of unequal dimensions")).cast("double")
+    return F.when(F.size(a) != F.size(b), unequal).when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def vector_query(entries: DataFrame, query: list[float], limit: int, section: Column, id_col: str, vector_col: str) -> DataFrame:
-    """id, score of the entries of a section nearest to one vector; ties to the smaller id."""
+def vector_query(entries: DataFrame, query: DataFrame, limit: int, section: Column, id_col: str, vector_col: str) -> DataFrame:
+    """id, score of the entries of a section nearest to one vector (query: one row, columns q and what section names); ties to the smaller id."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    score = cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
-    return entries.where(section).select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    met = entries.join(F.broadcast(query.limit(1)), section)  # one row
+    scored = met.select(id_col, cosine(F.col(vector_col), F.col("q")).alias("score"))
+    return scored.orderBy(F.desc("score"), id_col).limit(limit).select(id_col, F.round("score", 6).alias("score"))
 
 
 def block(source_id: Column, text: Column, state: Column, sha256: Column, page: Column, method: Column) -> Column:
@@ -106,10 +106,8 @@ def q_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_vector_topk_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _read(spark, sf_dir, "embeddings")
-    first = entries.orderBy("vec_id").first()
-    if first is None:
-        return entries.selectExpr("vec_id", "cast(null as double) as score")
-    return vector_query(entries, first.embedding, 10, F.col("label").eqNullSafe(F.lit(first.label)), "vec_id", "embedding")
+    first = entries.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"), F.col("label").alias("l"))
+    return vector_query(entries, first, 10, F.col("label").eqNullSafe(F.col("l")), "vec_id", "embedding")
 
 
 def q_prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +147,7 @@ select doc_id, i::int as i, round(('0x' || h)::ubigint / 4294967296.0, 6) as x f
     "vector_topk_section": """
 with q as (select embedding as v, label as l from embeddings order by vec_id limit 1)
 select vec_id, round(coalesce(list_cosine_similarity(embedding::double[], v::double[]), 0), 6) as score
-from embeddings, q where label is not distinct from l order by score desc, vec_id limit 10""",
+from embeddings, q where label is not distinct from l order by coalesce(list_cosine_similarity(embedding::double[], v::double[]), 0) desc, vec_id limit 10""",
     "prompt_context": f"""
 with b as (select conv_id, turn, conv_id || '/' || turn as s, text, role from conversations),
 f as (select conv_id, turn, concat(chr(10), '[source ', s, ': sha256=', coalesce(sha256(text), 'unknown'), ' page=', turn, ' method=', coalesce(role, 'unknown'), ']', chr(10),

@@ -40,11 +40,26 @@ def test_chunks_equal_a_loop(spark, window, overlap):
 
 def test_zero_vectors_and_bad_arguments(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id int, v array<double>")
-    got = {r.id: r.score for r in retrieval.vector_query(rows, [3.0, 4.0], 5, F.lit(True), "id", "v").collect()}
+    q = spark.createDataFrame([([3.0, 4.0],)], "q array<double>")
+    got = {r.id: r.score for r in retrieval.vector_query(rows, q, 5, F.lit(True), "id", "v").collect()}
     assert got[1] == 0 and math.isclose(got[2], 1)
     with pytest.raises(ValueError):
-        retrieval.vector_query(rows, [1.0, 1.0], 0, F.lit(True), "id", "v")
+        retrieval.vector_query(rows, q, 0, F.lit(True), "id", "v")
     with pytest.raises(ValueError):
         retrieval.assembled(rows, "id", "id", f"with {retrieval.PHRASE}", 10)
     with pytest.raises(ValueError):
         retrieval.structural_chunks(rows, F.col("id"), F.lit("e"), F.lit("x"), 4, 4)
+
+
+def test_near_ties_rank_by_the_exact_score(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 0.0])], "id int, v array<double>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    assert [r.id for r in retrieval.vector_query(rows, q, 1, F.lit(True), "id", "v").collect()] == [2]
+    with pytest.raises(Exception, match="unequal dimensions"):
+        retrieval.vector_query(rows, spark.createDataFrame([([1.0],)], "q array<double>"), 1, F.lit(True), "id", "v").collect()
+
+
+def test_words_end_at_separators(spark):
+    text = "a\x1cb\x1dc\x1ed\x1fe\u00a0f\u2028g"
+    got = spark.createDataFrame([(text,)], "t string").select(retrieval.tokens(F.col("t")).alias("w")).first().w
+    assert got == text.split()
