@@ -158,7 +158,7 @@ def q_lineage_report(spark, sf_dir):
 
 
 def q_lineage_components(spark, sf_dir):
-    """Orders and suppliers of an order's lines as a bipartite graph within a nation pair would be; here parts and suppliers by part size."""
+    """Components of 500 bipartite graphs, of parts and supplier classes of large order lines."""
     p = corpus.read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select((F.col("l_orderkey") % 500).alias("g"), F.struct(F.col("l_partkey").cast("string").alias("o"), (F.col("l_suppkey") % 7).cast("string").alias("n")).alias("e"))
     return p.groupBy("g").agg(F.array_sort(F.collect_set("e")).alias("edges")).select("g", F.size(merged_sets(F.col("edges"))).alias("n_components"))
 

@@ -1,0 +1 @@
+"""Sessions, dispatch and parameter records."""

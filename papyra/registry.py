@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from papyra.operators import embedding, extraction, lineage, mapping, reading, retrieval, validation
+from papyra.operators import embedding, extraction, ingestion, lineage, mapping, reading, retrieval, telemetry, validation
 
-MODULES = (reading, mapping, validation, extraction, lineage, embedding, retrieval)
+MODULES = (reading, mapping, validation, extraction, lineage, embedding, retrieval, ingestion, telemetry)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

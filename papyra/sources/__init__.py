@@ -1,0 +1 @@
+"""Tables, files and the corpus that queries run on."""
