@@ -304,7 +304,8 @@ def _scanner(docs: DataFrame, found: list[Matcher]):
     def later(text: pa.Array, before: pa.Array) -> pa.Array:
         return run(text, before)
 
-    return F.arrow_udf(first, FOUND), F.arrow_udf(later, FOUND)
+    # said to be nondeterministic, so that a filter on the hits doesn't read the texts once more
+    return F.arrow_udf(first, FOUND).asNondeterministic(), F.arrow_udf(later, FOUND).asNondeterministic()
 
 
 def _without(text: pa.Array, found: pa.Array) -> pa.Array:
