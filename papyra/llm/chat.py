@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm.store import bounded
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNT_ROLE = "assistant"
 MODEL = "byte_bpe_50k.tiktoken"
@@ -102,7 +104,7 @@ FORMATTED = "formatted string, token_ids array<int>, loss array<struct<start:int
 
 def format_chats(conversations: DataFrame, model: str = MODEL, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, formatted, token_ids, and the token runs that carry loss, one for each assistant turn."""
-    rows = conversations.where(F.col(f"`{id_col}`").isNotNull()).select(
+    rows = bounded(conversations, 256).where(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(id_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )

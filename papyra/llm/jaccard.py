@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.store import Scratch, free_names, if_few, slices
+from papyra.llm.store import Scratch, bounded, free_names, if_few, slices
 from papyra.llm.words import SPACE_WORDS, Words, buffers, mix, shingles
 
 WORDS, PERCENT = 5, 80
@@ -299,6 +299,7 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_c
 
 def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """For each row doc_id, h (hash of the text), n, node, comp (names the component whatever ids its rows have), component_id."""
+    docs = bounded(docs)
     tables = Scratch(docs.sparkSession)
     both = tables.cut(signed(docs, k, percent, id_col, text_col), "signed")
     every = tables.cut(both.select("doc_id", "h", "n", "node"), "every")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import cut
+from papyra.llm.store import bounded, cut
 from papyra.llm.urls import host_of
 from papyra.llm.words import buffers
 
@@ -236,6 +236,7 @@ def _sums(rows: DataFrame, n: int, *by: str) -> DataFrame:
 
 def identify(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, strength: float = 4.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """page_id, lang, probability, declared, suffix, host and text_lang (by the text alone) for each page."""
+    pages, docs = bounded(pages), bounded(docs)
     spark = pages.sparkSession
     names, models = text_models(docs, text_col, lang_col)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{html_col}`").cast("string").alias("h"))

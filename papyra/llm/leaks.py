@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import Scratch, free_names, slices
+from papyra.llm.store import Scratch, bounded, free_names, slices
 from papyra.llm.words import ALNUM_WORDS, Words, buffers
 
 WINDOW = 10
@@ -328,6 +328,7 @@ def _without(text: pa.Array, found: pa.Array) -> pa.Array:
 
 def _hits(docs: DataFrame, name: str, found: Iterator[Matcher], text_col: str, max_pass_bytes: int) -> DataFrame:
     """docs with a column ``name``: words, hit spans (in words) and items."""
+    docs = bounded(docs, 4096)
     tables, out, before = Scratch(docs.sparkSession), docs, None
     text = F.col(f"`{text_col}`").cast("string")
     lists = passes(found, max_pass_bytes)

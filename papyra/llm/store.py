@@ -102,3 +102,17 @@ FEW_IDS = 1 << 20
 def if_few(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast where they are counted to be few."""
     return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+def bounded(df: DataFrame, rows: int = 1024, size: str = "8m") -> DataFrame:
+    """df in a session of its own, a clone of its session with these bounds on what Arrow gives to a Python worker at once.
+
+    The caller's session keeps its settings, and whatever it sets later does not reach what is built on the result.
+    """
+    spark = df.sparkSession
+    clone = spark._jsparkSession.cloneSession()
+    clone.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    clone.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    plan = df._jdf.queryExecution().analyzed()
+    made = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, plan)
+    return DataFrame(made, SparkSession(spark.sparkContext, clone))

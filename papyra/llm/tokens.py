@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm.store import bounded
+
 
 MODEL = "piece_bpe_32k.model"
 CHUNK, OVERLAP = 16384, 1024
@@ -109,7 +111,7 @@ def count_batch(sp, exact: bool, texts: list[str], chunk: int = CHUNK, overlap:
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         sp, exact = load(model)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.store import cut
+from papyra.llm.store import bounded, cut
 
 BLOCK = 256
 PACK = 4096
@@ -74,7 +74,7 @@ def best_of(query: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.nda
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", pack: int = PACK, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors of each query; is_query is a condition on ``vec_id``."""
-    spark = vectors.sparkSession
+    vectors = bounded(vectors, 1)  # a row of work is a group and a pack
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("v")).where("vec_id is not null and v is not null")
     copies = F.sequence(F.lit(1), F.least(F.count("*"), F.lit(k)).cast("int"))
     base = base.groupBy("vec_id", "v").agg(copies.alias("copies"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.store import slices
+from papyra.llm.store import bounded, slices
 from papyra.llm.words import SPACE_WORDS, Words, buffers, mix
 
 BITS = 20
@@ -236,6 +236,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
+    docs = bounded(docs, 4096)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), scored(docs, model, text_col).alias("score"))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -243,6 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows of docs with a score under 0.5, all columns as they are."""
+    docs = bounded(docs, 4096)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     return docs.where(scored(docs, model, text_col) < 0.5)
 
