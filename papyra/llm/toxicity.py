@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     got = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(few, "i").select("i", "p", cols("t").alias("c"))
     table = got.groupBy("i", "p").agg(F.min("c").alias("c")).toArrow()
     order = sorted(range(table.num_rows), key=lambda k, i=table.column("i").to_pylist(), c=table.column("c").to_pylist(): (mix(np.array([i[k]]).astype(np.uint64))[0], c[k]))
-    table = table.take(order)
+    table = table.take(pa.array(order, pa.int64()))
     sides: tuple[list, list] = ([], [])
     ids_of: tuple[list, list] = ([], [])
     for i, p, c in zip(*(table.column(x).to_pylist() for x in "ipc"), strict=True):
