@@ -10,10 +10,13 @@ import json
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from papyra.sources import pdf
+
 SAFE_KEY = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*(/[A-Za-z0-9][A-Za-z0-9._-]*)*")
 
 
@@ -197,24 +200,29 @@ def write_report(spark: SparkSession, root: str, name: str, rows: DataFrame, mos
     files.put_if_absent(f"{root}/{name}.md", (head + "".join(f"| {' | '.join(map(str, r))} |\n" for r in found)).encode())
 
 
-#: Text runs of uncompressed content streams: position, font size, text.
-_RUN = r"/\w+ ([\d.]+) Tf\s+(?:1 0 0 1 ([\d.]+) ([\d.]+) Tm|([\d.]+) ([\d.]+) Td)\s+\(((?:\\.|[^\\()])*)\) Tj"
+def native_pages(files: DataFrame) -> DataFrame:
+    """document_id, page_count, page, width, height, runs (ord, font_size, x0, y0, text) of PDFs (files: document_id, content).
 
+    A file that can't be read is an error; width and height are null where the file doesn't say them.
+    """
+    run = "array<struct<ord:int,font_size:double,x0:double,y0:double,text:string>>"
 
-def native_runs(files: DataFrame) -> DataFrame:
-    """document_id, page, ord, font_size, x0, y0, text of PDFs with uncompressed streams (files: document_id, content); blank runs are left out.
+    def pages(content: pa.Array) -> pa.Array:
+        out = []
+        for c in content:
+            found = pdf.read(c.as_py() or b"")
+            out.append([{"page": k, "width": w, "height": h, "runs": [dict(zip(("ord", "font_size", "x0", "y0", "text"), r, strict=True)) for r in runs]} for k, w, h, runs in found])
+        number = pa.float64()
+        line = pa.list_(pa.struct([("ord", pa.int32()), ("font_size", number), ("x0", number), ("y0", number), ("text", pa.string())]))
+        return pa.array(out, pa.list_(pa.struct([("page", pa.int32()), ("width", number), ("height", number), ("runs", line)])))
 
-    Content that is no PDF is an error.
-    """
-    pdf = F.when(F.substring("content", 1, 5) == F.lit(b"%PDF-"), F.decode("content", "ISO-8859-1")).otherwise(F.raise_error(F.lit("not a PDF")).cast("string"))
-    streams = F.regexp_extract_all(pdf, F.lit(r"(?s)stream\r?\n(.*?)endstream"), F.lit(1))
-    pages = files.select("document_id", F.posexplode(F.filter(streams, lambda s: s.contains("BT"))).alias("p", "stream"))
-    runs = pages.select("document_id", (F.col("p") + 1).alias("page"), F.posexplode(F.regexp_extract_all("stream", F.lit(f"(?s){_RUN}"), F.lit(0))).alias("ord", "run"))
-    part = lambda i: F.regexp_extract("run", f"(?s){_RUN}", i)
-    number = lambda a, b: F.coalesce(F.nullif(part(a), F.lit("")), part(b)).cast("double")
-    text = F.regexp_replace(part(6), r"\\([()\\])", "$1")
-    out = runs.select("document_id", "page", "ord", part(1).cast("double").alias("font_size"), number(2, 4).alias("x0"), number(3, 5).alias("y0"), text.alias("text"))
-    return out.where(F.trim("text") != "")
+    parsed = F.arrow_udf(pages, f"array<struct<page:int,width:double,height:double,runs:{run}>>")("content")
+    return files.select("document_id", parsed.alias("pages")).select("document_id", F.size("pages").alias("page_count"), F.inline("pages"))
+
+
+def native_runs(files: DataFrame) -> DataFrame:
+    """document_id, page, ord, font_size, x0, y0, text of PDFs (files: document_id, content); blank runs are left out."""
+    return native_pages(files).select("document_id", "page", F.inline("runs"))
 
 
 def span_box(text: Column, x0: Column, y0: Column, size: Column) -> list[Column]:

@@ -177,6 +177,56 @@ def test_pdf_runs(spark):
         tables.native_runs(spark.createDataFrame([("d", bytearray(b"x"))], "document_id string, content binary")).collect()
 
 
+def built_pdf(pages, compressed, packed):
+    """A PDF whose pages hold these contents; compressed streams, and objects packed into an object stream."""
+    import zlib
+
+    shrink = (lambda b: zlib.compress(b)) if compressed else (lambda b: b)
+    extra = b" /Filter /FlateDecode" if compressed else b""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /MediaBox [0 0 595 842] /Kids [%s] /Count %d >>" % (kids, len(pages))}
+    plain |= {10 + 2 * i: b"<< /Type /Page /Parent 2 0 R /Contents %s >>" % (b"%d 0 R" % (11 + 2 * i) if i % 2 else b"[%d 0 R]" % (11 + 2 * i)) for i in range(len(pages))}
+    out = b"%PDF-1.5\n"
+    if packed:
+        at, head = 0, b""
+        for n, body in plain.items():
+            head += b"%d %d " % (n, at)
+            at += len(body) + 1
+        body = shrink(head + b"\n".join(plain.values()))
+        out += b"3 0 obj\n<< /Type /ObjStm /N %d /First %d%s /Length %d >>\nstream\n" % (len(plain), len(head), extra, len(body)) + body + b"\nendstream\nendobj\n"
+    else:
+        out += b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in reversed(plain.items()))
+    for i, text in reversed(list(enumerate(pages))):
+        body = shrink(text)
+        out += b"%d 0 obj\n<< /Length %d%s >>\nstream\n" % (11 + 2 * i, len(body), extra) + body + b"\nendstream\nendobj\n"
+    return out + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages(spark):
+    first = b"BT /F1 10 Tf 1 0 0 1 56 780 Tm (A \\(nested (one)\\) \\101\\\n!) Tj ET\nBI /W 1 ID (Tj \x00 EI\nBT <4f6b> Tj 1 0 0 1 5 6 Tm /F1 8 Tf [ (x) 3 ] TJ ( ) Tj (B) Tj 9 9 Td (C) Tj ET % (D) Tj\n"
+    second = b"BT (lost) Tj /F1 7 Tf 3 4 Td (E) Tj 1 1 Td (F) Tj ET"
+    made = [bytearray(built_pdf([first, second, b""], c, p)) for c in (False, True) for p in (False, True)]
+    df = spark.createDataFrame(list(enumerate(made)), "document_id long, content binary")
+    pages = tables.native_pages(df).collect()
+    assert sorted((r.document_id, r.page, r.page_count, r.width, r.height) for r in pages) == [(d, p, 3, 595.0, 842.0) for d in range(4) for p in (1, 2, 3)]
+    want = [(1, 0, 10.0, 56.0, 780.0, "A (nested (one)) A!"), (1, 1, 10.0, 56.0, 780.0, "Ok"), (1, 3, 8.0, 5.0, 6.0, "B"), (1, 4, 8.0, 5.0, 6.0, "C"), (2, 0, 7.0, 3.0, 4.0, "E"), (2, 1, 7.0, 4.0, 5.0, "F")]
+    assert sorted(tuple(r) for r in tables.native_runs(df).collect()) == [(d, *w) for d in range(4) for w in want]
+
+
+def test_pdfs_that_cannot_be_read(monkeypatch):
+    from papyra.sources import pdf
+
+    good = built_pdf([b"BT /F1 1 Tf 1 0 0 1 1 1 Tm (%s) Tj ET" % (b"a" * 1000)], True, True)
+    assert len(pdf.read(good)[0][3][0][4]) == 1000 and pdf.read(b"%PDF-1.4") == []
+    loop = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Kids [2 0 R] >>\nendobj\n"
+    for bad in (b"", b"x", good.replace(b"FlateDecode", b"LZWDecode"), good.replace(b"x\x9c", b"zz"), good.replace(b"/Root", b"/Encrypt 9 0 R /Root"), loop, b"%PDF-1.4\n1 0 obj\n(never ends\nendobj\n"):
+        with pytest.raises(pdf.PdfError):
+            pdf.read(bad)
+    monkeypatch.setattr(pdf, "MOST_BYTES", 500)
+    with pytest.raises(pdf.PdfError):
+        pdf.read(good)
+
+
 def test_assembled_ids(spark):
     s = [("d", 1, 1, 0.0, 100.0, 40.0, 110.0, "Total:"), ("d", 2, 1, 50.0, 100.0, 90.0, 110.0, "5"), ("d", 3, 1, 45.0, 100.0, 49.0, 110.0, "EUR"), ("d", 4, 1, 0.0, 80.0, 40.0, 90.0, "total :"), ("d", 5, 1, 50.0, 81.0, 90.0, 91.0, "7"), ("d", 6, 1, 0.0, 60.0, 9.0, 70.0, "Alone:")]
     df = spark.createDataFrame(s, "document_id string, ord int, page int, x0 double, y0 double, x1 double, y1 double, text string")
