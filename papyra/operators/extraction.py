@@ -174,6 +174,34 @@ def cascade_scanned(regions: DataFrame, recognised: DataFrame, accept: float, re
     return assessed.join(recognised, ["document_id", "page", "region"], "left").withColumn("text", F.when(F.col("route") == "vlm_fallback", F.col("text")))
 
 
+def cascade_ledger(documents: DataFrame, full: float = COST_LAYOUT + COST_MODEL, page: float = COST_LAYOUT) -> DataFrame:
+    """tenant_id, document_id, category, cost of documents (with page_count, native: whether they have native text).
+
+    Each is analysed, and each page of one without native text recognised; such a document without pages is an error.
+    """
+    if min(full, page) < 0:
+        raise ValueError("costs must not be negative")
+    pages = F.when(F.coalesce(F.col("page_count"), F.lit(0)) > 0, F.col("page_count")).otherwise(F.raise_error(F.lit("a document without pages")).cast("int"))
+    line = lambda name, cost: F.struct(F.lit(name).alias("category"), cost.cast("double").alias("cost"))
+    whole = line("full_analysis", F.lit(full))
+    lines = F.when(F.coalesce("native", F.lit(False)), F.array(whole)).otherwise(F.array(whole, line("ocr", pages * F.lit(page))))
+    return documents.select("tenant_id", "document_id", F.inline(lines))
+
+
+def cascade_failures(assessed: DataFrame, verdicts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """document_id, tenant_id, region, reason and items of the documents whose fallback the cost cap refused: a refused region fails its whole document.
+
+    assessed: document_id, tenant_id, region, route, ord (of the call); verdicts: tenant_id, ord, verdict; ledger: tenant_id, category, cost.
+    region is that of the first refused call, items is what its tenant spent, category=cost by name, without categories of no cost.
+    """
+    refused = verdicts.where("verdict = 'cost_cap'").select("tenant_id", "ord")
+    first = assessed.where("route = 'vlm_fallback'").join(refused, ["tenant_id", "ord"]).groupBy("document_id", "tenant_id").agg(F.min_by("region", "ord").alias("region"))
+    spent = ledger.groupBy("tenant_id", "category").agg(F.sum("cost").alias("cost")).where("cost > 0")
+    item = F.concat("category", F.lit("="), F.format_string("%.2f", "cost"))
+    items = spent.groupBy("tenant_id").agg(F.array_join(F.array_sort(F.collect_list(item)), ";").alias("items"))
+    return first.join(items, "tenant_id", "left").select("document_id", "tenant_id", "region", F.lit("cost_cap").alias("reason"), F.coalesce("items", F.lit("")).alias("items"))
+
+
 def decision_cost(routed_to: Column) -> Column:
     return F.when(routed_to == "fast_path", F.lit(COST_REGION * FAST_REGIONS)).otherwise(F.lit(COST_LAYOUT + COST_MODEL))
 
@@ -304,6 +332,17 @@ def q_cascade_cost(spark, sf_dir):
     return out.select("document_id", F.round(cascade_cost(F.col("routed_to"), F.col("n")), 6).alias("cost"))
 
 
+def q_cascade_ledger(spark, sf_dir):
+    d = corpus.registered(spark, sf_dir)
+    return cascade_ledger(d.select("tenant_id", "document_id", "page_count", F.col("template_id").isNotNull().alias("native")))
+
+
+def q_cascade_failures(spark, sf_dir):
+    s = corpus.spans(spark, sf_dir).select("document_id", "tenant_id", F.col("ord").alias("region"), (F.col("o_orderkey") * 1000 + F.col("ord")).alias("ord"), "confidence")
+    calls = s.select("tenant_id", "ord", F.when(F.col("ord") % 700 > 690, "cost_cap").otherwise("called").alias("verdict"))
+    return cascade_failures(gate(s, 0.8, 0.6), calls, q_cascade_ledger(spark, sf_dir))
+
+
 def q_decoy_labels(spark, sf_dir):
     return decoys(corpus.spans(spark, sf_dir).where("ord % 10 = 0").select("document_id", "ord", "text")).select("document_id", "ord", "text", "decoy", "group_size")
 
@@ -385,6 +424,10 @@ p as (select document_id, page, w, string_agg('[' || a || ',' || b || ',' || c |
     "scanned_cascade": WITH_SPANS + "select case when confidence >= 0.8 then 'accept' when confidence < 0.6 then 'review' else 'vlm_fallback' end as route, count(*) as n, sum(case when confidence >= 0.6 and confidence < 0.8 and o_orderkey % 2 = 0 then 1 else 0 end)::bigint as n_text from spans group by all",
     "provenance_fragments": WITH_SPANS + "select 0 as part, kind, document_id, page, x0, y0 from placed union all select 1, 'text', document_id, page, x0, y0 from spans",
     "cascade_cost": _ROUTE + "select document_id, round(case when routed_to = 'fast_path' then n * 0.1::double else 2.0 end, 6) as cost from ro join (select document_id, count(*) as n from spans group by document_id) using (document_id)",
+    "cascade_ledger": WITH_SPANS + "select tenant_id, document_id, 'full_analysis' as category, 2.0::double as cost from reg union all select tenant_id, document_id, 'ocr', page_count::double from reg where template_id is null",
+    "cascade_failures": WITH_SPANS.rstrip() + """, l as (select tenant_id, 'full_analysis=' || printf('%.2f', 2.0 * count(*)) || ';ocr=' || printf('%.2f', sum(page_count::double) filter (template_id is null)) as items from reg group by tenant_id)
+  select document_id, tenant_id, min(ord) as region, 'cost_cap' as reason, any_value(items) as items from spans join l using (tenant_id)
+  where confidence >= 0.6 and confidence < 0.8 and (o_orderkey * 1000 + ord) % 700 > 690 group by document_id, tenant_id""",
     "decoy_labels": WITH_SPANS + "select document_id, ord, text, coalesce(lead(text) over w, first_value(text) over w) as decoy, count(*) over (partition by document_id, length(text)) as group_size from spans where ord % 10 = 0 window w as (partition by document_id, length(text) order by ord)",
     "routing_benchmark": _ROUTE + """select count(*) as n, avg(case when template_id is not null then 1.0::double else 0 end) as hit_rate, avg(case when status = 'accepted' then 1.0::double else 0 end) filter (o_orderkey % 31 = 0) as false_accept_rate,
   avg(case when coalesce(status, '') <> 'accepted' then 1.0::double else 0 end) filter (o_orderkey % 31 <> 0) as false_reject_rate, quantile_cont((o_orderkey % 997)::double, 0.5) as p50, quantile_cont((o_orderkey % 997)::double, 0.95) as p95,

@@ -1,11 +1,14 @@
 """Ingestion and jobs: upload gates, idempotent registration, outbox, job states, rate limits, circuit breakers.
 
-What depends on the order of events is a fold over the ordered array of one key's events. A key's events are bounded by its rate
-limit times the time that is replayed; streams (``papyra.streaming``) keep the same state between batches.
+A job's state is a fold over the ordered array of its few events. Rate limits and circuit breakers replay a tenant's events, of any number, as a
+sorted stream; streams (``papyra.streaming``) keep the same state between batches.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,57 +99,100 @@ def lease_next(jobs: DataFrame, kind: str, now: float) -> DataFrame:
 
 def fixed_window(events: DataFrame, limit: int, window: float) -> DataFrame:
     """events (tenant_id, ord, at) with allowed: at most limit in a window, which begins with the first event after the last one ended."""
-    start = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:bigint,allowed:boolean>>").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["start"].isNull() | (e["at"] - s["start"] >= window)
-        n = F.when(fresh, 0).otherwise(s["n"])
-        fine = n < limit
-        return F.struct(F.when(fresh, e["at"]).otherwise(s["start"]).alias("start"), (n + fine.cast("int")).alias("n"), F.array_append(s["out"], F.struct(e["ord"].alias("ord"), fine.alias("allowed"))).alias("out"))
+    def tenant():
+        start, n = None, 0
+
+        def step(at: float) -> bool:
+            nonlocal start, n
+            if start is None or at - start >= window:
+                start, n = at, 0
+            fine = n < limit
+            n += fine
+            return fine
+
+        return step
 
-    return _replayed(events, start, step)
+    return _replayed(events, [], tenant, "allowed", "boolean", pa.bool_())
 
 
 def sliding_window(events: DataFrame, limit: int, window: float) -> DataFrame:
     """The same with the calls allowed in the last window before each event."""
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<struct<ord:bigint,allowed:boolean>>").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        kept = F.filter(s["kept"], lambda t: t > e["at"] - window)
-        fine = F.size(kept) < limit
-        return F.struct(F.when(fine, F.array_append(kept, e["at"])).otherwise(kept).alias("kept"), F.array_append(s["out"], F.struct(e["ord"].alias("ord"), fine.alias("allowed"))).alias("out"))
+    def tenant():
+        kept: deque[float] = deque()
 
-    return _replayed(events, start, step)
+        def step(at: float) -> bool:
+            while kept and kept[0] <= at - window:
+                kept.popleft()
+            if len(kept) >= limit:
+                return False
+            kept.append(at)
+            return True
 
+        return step
 
-def _replayed(events: DataFrame, start: Column, step) -> DataFrame:
-    e = F.struct(F.col("at").cast("double").alias("at"), F.col("ord").cast("long").alias("ord"))
-    whole = events.groupBy("tenant_id").agg(F.array_sort(F.collect_list(e)).alias("es"))
-    return whole.select("tenant_id", F.inline(F.aggregate("es", start, step, lambda s: s["out"])))
+    return _replayed(events, [], tenant, "allowed", "boolean", pa.bool_())
 
 
-def breaker(calls: DataFrame, failures: int, cool: float, cap: float) -> DataFrame:
-    """calls (tenant_id, ord, at, ok, cost) with verdict: refused by the open circuit, refused by the cost cap, or called.
+def breaker(calls: DataFrame, failures: int, cool: float, cap: float, rate: int = 10, window: float = 1.0) -> DataFrame:
+    """calls (tenant_id, ord, at, ok, cost) with verdict: refused by the open circuit, the cost cap or the rate limit, in this order, or called.
 
-    The circuit opens after so many failures in a row and lets one call through after cool seconds: if that fails it opens again. Refusals
-    are no failures and cost nothing.
+    The circuit opens after so many failures in a row and lets a call through after cool seconds: if that fails it opens again. The cap
+    refuses once as much as it is spent, so the call that passes it is still made; only calls that succeed cost anything. Refusals are no
+    failures, and a circuit that has cooled down stays ready for its trial. A null ok is a failure, a null cost 0.
     """
-    out = "array<struct<ord:bigint,verdict:string>>"
-    start = F.struct(F.lit(0).alias("bad"), F.lit(None).cast("double").alias("opened"), F.lit(0.0).alias("spent"), F.array().cast(out).alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        shut = s["opened"].isNotNull() & (e["at"] - s["opened"] < cool)
-        dear = ~shut & (s["spent"] + e["cost"] > cap)
-        called = ~shut & ~dear
-        bad = F.when(called, F.when(e["ok"], 0).otherwise(s["bad"] + 1)).otherwise(s["bad"])
-        fell = called & ~e["ok"] & (s["opened"].isNotNull() | (bad >= failures))
-        opened = F.when(fell, e["at"]).when(called & e["ok"], F.lit(None).cast("double")).otherwise(s["opened"])
-        verdict = F.when(shut, "circuit_open").when(dear, "cost_cap").otherwise("called")
-        return F.struct(bad.alias("bad"), opened.alias("opened"), (s["spent"] + F.when(called, e["cost"]).otherwise(0.0)).alias("spent"), F.array_append(s["out"], F.struct(e["ord"].alias("ord"), verdict.alias("verdict"))).alias("out"))
-
-    e = F.struct(F.col("at").cast("double").alias("at"), F.col("ord").cast("long").alias("ord"), "ok", F.col("cost").cast("double").alias("cost"))
-    whole = calls.groupBy("tenant_id").agg(F.array_sort(F.collect_list(e)).alias("es"))
-    return whole.select("tenant_id", F.inline(F.aggregate("es", start, step, lambda s: s["out"])))
+    if min(cap, cool, window) <= 0 or min(failures, rate) < 1:
+        raise ValueError("failures, cool, cap, rate and window must be positive")
+
+    def tenant():
+        bad, opened, spent = 0, None, 0.0
+        kept: deque[float] = deque()
+
+        def step(at: float, ok: bool, cost: float) -> str:
+            nonlocal bad, opened, spent
+            if opened is not None and at - opened < cool:
+                return "circuit_open"
+            if spent >= cap:
+                return "cost_cap"
+            while kept and kept[0] <= at - window:
+                kept.popleft()
+            if len(kept) >= rate:
+                return "rate_limit"
+            kept.append(at)
+            if ok:
+                bad, opened, spent = 0, None, spent + cost
+            elif opened is not None or bad + 1 >= failures:
+                bad, opened = 0, at
+            else:
+                bad += 1
+            return "called"
+
+        return step
+
+    return _replayed(calls, [F.coalesce(F.col("ok").cast("boolean"), F.lit(False)), F.coalesce(F.col("cost").cast("double"), F.lit(0.0))], tenant, "verdict", "string", pa.string())
+
+
+def _replayed(events: DataFrame, more: list[Column], tenant, name: str, kind: str, arrow: pa.DataType) -> DataFrame:
+    """tenant_id, ord and what tenant()'s step says of (at, *more), for each tenant's events by time, then ord.
+
+    The events of a tenant are sorted in one partition (which spills) and stream through: no task holds more than a batch and the state.
+    """
+    rows = events.select(F.col("tenant_id").cast("string"), F.col("at").cast("double").alias("at"), F.col("ord").cast("long").alias("ord"), *[c.alias(f"more_{i}") for i, c in enumerate(more)])
+    rows = rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "at", "ord")
+
+    def run(batches):
+        held, step = object(), None
+        for b in batches:
+            said = []
+            columns = [c.to_pylist() for i, c in enumerate(b.columns) if i != 2]
+            for t, *e in zip(*columns, strict=True):
+                if t != held:
+                    held, step = t, tenant()
+                said.append(step(*e))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(said, arrow)], ["tenant_id", "ord", name])
+
+    return rows.mapInArrow(run, f"tenant_id string, ord long, {name} {kind}")
 
 
 def _uploads(spark, sf_dir) -> DataFrame:

@@ -63,7 +63,7 @@ def test_windows_and_breaker_equal_loops(spark):
     df = spark.createDataFrame(events, "tenant_id string, ord long, at double, ok boolean, cost double")
     fixed, sliding, calls = {}, {}, {}
     for t in {e[0] for e in events}:
-        start, n, kept, bad, opened, spent = None, 0, [], 0, None, 0.0
+        start, n, kept, made, bad, opened, spent = None, 0, [], [], 0, None, 0.0
         for _, i, at, ok, cost in sorted((e for e in events if e[0] == t), key=lambda e: (e[2], e[1])):
             if start is None or at - start >= 10:
                 start, n = at, 0
@@ -72,21 +72,26 @@ def test_windows_and_breaker_equal_loops(spark):
             kept = [x for x in kept if x > at - 10]
             sliding[i] = len(kept) < 3
             kept += [at] if sliding[i] else []
+            made = [x for x in made if x > at - 8]
             if opened is not None and at - opened < 5:
                 calls[i] = "circuit_open"
-            elif spent + cost > 40:
+            elif spent >= 20:
                 calls[i] = "cost_cap"
+            elif len(made) >= 4:
+                calls[i] = "rate_limit"
             else:
-                calls[i], spent = "called", spent + cost
+                calls[i] = "called"
+                made.append(at)
+                bad = 0 if ok else bad + 1
+                spent += cost if ok else 0
                 if ok:
-                    bad, opened = 0, None
-                else:
-                    bad += 1
-                    if opened is not None or bad >= 2:
-                        opened = at
+                    opened = None
+                elif opened is not None or bad == 2:
+                    opened, bad = at, 0
+    assert set(calls.values()) == {"circuit_open", "cost_cap", "rate_limit", "called"}
     assert {r.ord: r.allowed for r in ingestion.fixed_window(df, 3, 10.0).collect()} == fixed
     assert {r.ord: r.allowed for r in ingestion.sliding_window(df, 3, 10.0).collect()} == sliding
-    assert {r.ord: r.verdict for r in ingestion.breaker(df, 2, 5.0, 40.0).collect()} == calls
+    assert {r.ord: r.verdict for r in ingestion.breaker(df, 2, 5.0, 20.0, 4, 8.0).collect()} == calls
 
 
 def loop(events, most):
