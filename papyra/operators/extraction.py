@@ -124,15 +124,16 @@ def targeted(documents: DataFrame, spans: DataFrame, elements: DataFrame) -> Dat
 
 
 def assemble(spans: DataFrame) -> DataFrame:
-    """document_id, element_id, label, value: a text that ends with a colon and the nearest span to its right in its row.
+    """document_id, element_id, label, value, page, box (of the value), label_box: a text that ends with a colon and the nearest span to its right in its row.
 
     Element ids are the labels' slugs in reading order; a slug that is taken gets the first free number from 2 on.
     """
     a, b = spans.where(F.col("text").endswith(":")).alias("a"), spans.alias("b")
     here = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.ord") != F.col("b.ord"))
     here = here & G.same_row(F.col("a.y0"), F.col("a.y1"), F.col("b.y0"), F.col("b.y1")) & (F.col("b.x0") >= F.col("a.x1"))
-    pair = a.join(b, here).groupBy("a.document_id", "a.page", "a.ord", "a.y0", "a.x0", F.col("a.text").alias("label")).agg(F.min_by("b.text", F.struct("b.x0", "b.ord")).alias("value"))
-    item = F.struct("page", (-F.col("y0")).alias("y"), "x0", "ord", "label", "value")
+    pair = a.join(b, here).groupBy("a.document_id", "a.page", "a.ord", "a.y0", "a.x0", "a.x1", "a.y1", F.col("a.text").alias("label")).agg(F.min_by(F.struct("b.text", "b.x0", "b.y0", "b.x1", "b.y1"), F.struct("b.x0", "b.ord")).alias("v"))
+    box = lambda at: F.array(*[F.col(f"{at}{c}") for c in ("x0", "y0", "x1", "y1")])
+    item = F.struct("page", (-F.col("y0")).alias("y"), "x0", "ord", "label", F.col("v.text").alias("value"), box("v.").alias("box"), box("").alias("label_box"))
     listed = pair.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def name(used: Column, x: Column) -> Column:
@@ -141,7 +142,7 @@ def assemble(spans: DataFrame) -> DataFrame:
         return F.concat(used, F.slice(F.filter(tries, lambda t: ~F.array_contains(used, t)), 1, 1))
 
     names = F.aggregate("items", F.array().cast("array<string>"), name)
-    return listed.select("document_id", F.inline(F.arrays_zip(names.alias("element_id"), F.col("items")))).select("document_id", "element_id", "items.label", "items.value")
+    return listed.select("document_id", F.inline(F.arrays_zip(names.alias("element_id"), F.col("items")))).select("document_id", "element_id", "items.label", "items.value", "items.page", "items.box", "items.label_box")
 
 
 def gate(regions: DataFrame, accept: float, review: float, calibrator=lambda c: c) -> DataFrame:

@@ -74,16 +74,18 @@ def relay(outbox: DataFrame, jobs: DataFrame, limit: int) -> tuple[DataFrame, Da
 def job_states(events: DataFrame, most: int = ATTEMPTS) -> DataFrame:
     """job_id, status, attempts, due_after: events (job_id, ord, event in enqueue, lease, fail, complete), in order.
 
-    A completed or dead job stays so; a failure waits, or ends the job when it was the last attempt.
+    Only queued jobs are leased. A failure counts whatever the status: the job waits, or ends when it was the last attempt. Completing
+    a job twice changes nothing, and what happens to a job before it is enqueued is passed over.
     """
     start = F.struct(F.lit("none").alias("status"), F.lit(0).alias("attempts"))
 
     def step(s: Column, e: Column) -> Column:
-        kind, done = e["event"], s["status"].isin("completed", "dead_letter")
-        n = F.when(~done & (kind == "fail") & (s["status"] == "leased"), s["attempts"] + 1).otherwise(s["attempts"])
+        kind, known = e["event"], s["status"] != "none"
+        failed = known & (kind == "fail")
+        n = s["attempts"] + failed.cast("int")
         status = (
-            F.when(done, s["status"]).when((kind == "enqueue") & (s["status"] == "none"), "queued").when((kind == "lease") & (s["status"] == "queued"), "leased")
-            .when((kind == "fail") & (s["status"] == "leased"), F.when(n >= most, "dead_letter").otherwise("queued")).when((kind == "complete") & (s["status"] == "leased"), "completed").otherwise(s["status"])
+            F.when(~known & (kind == "enqueue"), "queued").when((kind == "lease") & (s["status"] == "queued"), "leased")
+            .when(failed, F.when(n >= most, "dead_letter").otherwise("queued")).when(known & (kind == "complete"), "completed").otherwise(s["status"])
         )
         return F.struct(status.alias("status"), n.alias("attempts"))
 

@@ -34,16 +34,14 @@ def job_stream(events: DataFrame, most: int = ATTEMPTS) -> DataFrame:
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, n = state.get if state.exists else ("none", 0)
         for kind in pd.concat(frames).sort_values(["ord", "event"])["event"]:
-            if status in ("completed", "dead_letter"):
-                break
             if kind == "enqueue" and status == "none":
                 status = "queued"
             elif kind == "lease" and status == "queued":
                 status = "leased"
-            elif kind == "fail" and status == "leased":
+            elif kind == "fail" and status != "none":
                 n += 1
                 status = "dead_letter" if n >= most else "queued"
-            elif kind == "complete" and status == "leased":
+            elif kind == "complete" and status != "none":
                 status = "completed"
         state.update((status, n))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [n]})

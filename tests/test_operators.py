@@ -1,6 +1,7 @@
 """Cases that tables don't show: folds against loops, errors, stores, dispatch, streams, fixtures."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,15 +98,13 @@ def test_windows_and_breaker_equal_loops(spark):
 def loop(events, most):
     status, n = "none", 0
     for e in events:
-        if status in ("completed", "dead_letter"):
-            break
-        if (e, status) == ("enqueue", "none"):
+        if e == "enqueue" and status == "none":
             status = "queued"
-        elif (e, status) == ("lease", "queued"):
+        elif e == "lease" and status == "queued":
             status = "leased"
-        elif (e, status) == ("complete", "leased"):
+        elif e == "complete" and status != "none":
             status = "completed"
-        elif (e, status) == ("fail", "leased"):
+        elif e == "fail" and status != "none":
             n += 1
             status = "dead_letter" if n >= most else "queued"
     return status, n
@@ -113,7 +112,7 @@ def loop(events, most):
 
 def job_events():
     rng = random.Random(5)
-    return {j: ["enqueue", *rng.choices(["lease", "fail", "complete", "lease"], k=12)] for j in range(40)}
+    return {j: [*rng.choices(["lease", "fail", "enqueue"], k=2), *rng.choices(["lease", "fail", "complete", "lease", "enqueue"], k=12)] for j in range(40)}
 
 
 def test_job_states_equal_a_loop(spark):
@@ -238,6 +237,27 @@ def test_assembled_ids(spark):
     assert [(r.element_id, r.value) for r in extraction.assemble(df).collect()] == [("el_total", "EUR"), ("el_total_2", "7")]
 
 
+def test_assembled_pairs_equal_a_loop(spark):
+    rng = random.Random(7)
+    texts = ["Total:", "total 2:", "TOTAL::", "x", "No.:", "5", "é:", ":"]
+    spans = [(f"d{rng.randint(0, 9)}", i, rng.randint(1, 2), float(rng.randint(0, 9) * 20), float(rng.randint(0, 12) * 8), rng.choice(texts)) for i in range(400)]
+    spans = [(d, i, p, x, y, x + 18, y + 10, t) for d, i, p, x, y, t in spans]
+    want = []
+    for d in {s[0] for s in spans}:
+        here, used = [s for s in spans if s[0] == d], set()
+        for a in sorted((s for s in here if s[7].endswith(":")), key=lambda s: (s[2], -s[4], s[3])):
+            right = [b for b in here if b is not a and b[2] == a[2] and a[4] < b[6] and b[4] < a[6] and b[3] >= a[5]]
+            if right:
+                v = min(right, key=lambda s: s[3])
+                base = "el_" + re.sub("[^a-z0-9]+", "_", a[7].lower().rstrip(":")).strip("_")
+                name = next(n for n in (base if k == 1 else f"{base}_{k}" for k in range(1, 500)) if n not in used)
+                used.add(name)
+                want.append((d, name, a[7], v[7], a[2], list(v[3:7]), list(a[3:7])))
+    df = spark.createDataFrame(spans, "document_id string, ord int, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = [tuple(r) for r in extraction.assemble(df).collect()]
+    assert any(n.endswith("total_2_2") for _, n, *_ in want) and sorted(got) == sorted(want)
+
+
 def test_rows_are_told_by_their_first_span(spark):
     s = [(-10.0, 1.0, 1, 10.0, 20.0, "a"), (-9.0, 5.0, 2, 9.0, 19.0, "b"), (-0.5, 0.0, 3, 0.5, 9.5, "c")]
     one = spark.createDataFrame([(s,)], "s array<struct<y:double,x0:double,ord:int,y0:double,y1:double,text:string>>")
