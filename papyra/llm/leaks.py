@@ -273,8 +273,11 @@ def passes(found: Iterator[Matcher], max_pass_bytes: int) -> Iterator[list[Match
     yield held
 
 
-def _scanner(docs: DataFrame, found: list[Matcher]):
-    """A UDF of a text and its earlier hits, if there are any."""
+def _scanner(docs: DataFrame, found: list[Matcher], clean: bool):
+    """A UDF of a text and its earlier hits, if there are any; if clean, it also gives ``rest``, the text without all hits.
+
+    It is one UDF, as a second one that reads its result would be given a Python worker of its own for each task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def part(text: pa.Array, before) -> pa.StructArray:
@@ -292,7 +295,10 @@ def _scanner(docs: DataFrame, found: list[Matcher]):
         spans = [[{"start": x, "stop": y} for x, y in merged(hits[d][0])] if d in hits else [] for d in range(len(w))]
         items = [sorted(hits[d][1], key=_last) if d in hits else [] for d in range(len(w))]
         cols = [pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(cols, names=["n_words", "spans", "item_ids"])
+        del w
+        if clean:
+            cols.append(_without(text, spans))
+        return pa.StructArray.from_arrays(cols, names=["n_words", "spans", "item_ids", "rest"][: len(cols)])
 
     def run(text: pa.Array, before) -> pa.Array:
         done = [part(text.slice(lo, hi - lo), None if before is None else before.slice(lo, hi - lo)) for lo, hi in slices(buffers(text)[1], 8 << 20)]
@@ -305,38 +311,38 @@ def _scanner(docs: DataFrame, found: list[Matcher]):
         return run(text, before)
 
     # said to be nondeterministic, so that a filter on the hits doesn't read the texts once more
-    return F.arrow_udf(first, FOUND).asNondeterministic(), F.arrow_udf(later, FOUND).asNondeterministic()
-
-
-def _without(text: pa.Array, found: pa.Array) -> pa.Array:
-    """Texts without the words of found's spans; null where there are none."""
-    w = Words(text, ALNUM_WORDS, spans=True)
-    out: list[str | None] = []
-    for d, spans in enumerate(found.field("spans").to_pylist()):
-        if not spans:
-            out.append(None)
-            continue
-        lo, hi, f = int(w.offsets[d]), int(w.offsets[d + 1]), int(w.first[d])
-        kept, at = [], lo
-        for x in spans:
-            kept.append(bytes(w.raw[at : w.starts[f + x["start"]]]))
-            at = int(w.ends[f + x["stop"] - 1])
-        kept.append(bytes(w.raw[at:hi]))
-        out.append(b"".join(kept).decode())
+    kind = f"{FOUND}, rest string" if clean else FOUND
+    return F.arrow_udf(first, kind).asNondeterministic(), F.arrow_udf(later, kind).asNondeterministic()
+
+
+def _without(text: pa.Array, spans: list[list[dict[str, int]]]) -> pa.Array:
+    """Texts without the words of their spans; null where there are none. Only texts with spans are cut into words again."""
+    at = [d for d, x in enumerate(spans) if x]
+    out: list[str | None] = [None] * len(spans)
+    w = Words(text.take(pa.array(at, pa.int64())), ALNUM_WORDS, spans=True)
+    for k, d in enumerate(at):
+        lo, hi, f = int(w.offsets[k]), int(w.offsets[k + 1]), int(w.first[k])
+        kept = []
+        for x in spans[d]:
+            kept.append(bytes(w.raw[lo : w.starts[f + x["start"]]]))
+            lo = int(w.ends[f + x["stop"] - 1])
+        kept.append(bytes(w.raw[lo:hi]))
+        out[d] = b"".join(kept).decode()
     return pa.array(out, pa.string())
 
 
-def _hits(docs: DataFrame, name: str, found: Iterator[Matcher], text_col: str, max_pass_bytes: int) -> DataFrame:
-    """docs with a column ``name``: words, hit spans (in words) and items."""
+def _hits(docs: DataFrame, name: str, found: Iterator[Matcher], text_col: str, max_pass_bytes: int, clean: bool = False) -> DataFrame:
+    """docs with a column ``name``: words, hit spans (in words) and items; if clean, ``rest`` as well: the text without the hits, null without any."""
     docs = bounded(docs, 4096)
     tables, out, before = Scratch(docs.sparkSession), docs, None
     text = F.col(f"`{text_col}`").cast("string")
     lists = passes(found, max_pass_bytes)
     here = next(lists)
     while here is not None:
-        first, later = _scanner(docs, here)
+        after = next(lists, None)
+        first, later = _scanner(docs, here, clean and after is None)
         out = out.withColumn(name, first(text) if before is None else later(text, F.col(name)))
-        here = next(lists, None)
+        here = after
         if here is not None:  # the next pass must not hold this one's arrays
             written = tables.cut(out, "leaks")
             if before is not None:
@@ -358,11 +364,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Other columns stay, whatever their names, except that ``n_chars``, where there is one, counts the new text.
     """
     (name,) = free_names(docs, "leaks")
-    out = _hits(docs, name, matchers(benchmark, window, max_item_bytes, item_col, item_text_col), text_col, max_pass_bytes)
+    out = _hits(docs, name, matchers(benchmark, window, max_item_bytes, item_col, item_text_col), text_col, max_pass_bytes, clean=True)
     text = F.col(f"`{text_col}`")
     hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
     out = out.where(hit <= F.lit(max_coverage) * F.col(f"{name}.n_words"))
-    out = out.withColumn(text_col, F.coalesce(F.arrow_udf(_without, "string")(text.cast("string"), F.col(name)), text)).drop(name)
+    out = out.withColumn(text_col, F.coalesce(F.col(f"{name}.rest"), text)).drop(name)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
