@@ -46,12 +46,13 @@ def again(col: np.ndarray) -> np.ndarray:
 
 def columns_of(text: pa.Array) -> list[np.ndarray]:
     """The distinct columns of each text."""
-    w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
-    kinds = features(w)
     out = []
-    for d in range(len(w)):
-        cols, n = np.unique(np.concatenate([k[w.first[d] : w.first[d + 1]] for k in kinds]), return_counts=True)
-        out.append(np.unique(np.concatenate([cols, again(cols[n >= 2])])))
+    for lo, hi in slices(buffers(text)[1]):
+        w = Words(text.slice(lo, hi - lo), SPACE_WORDS, prefixes=PREFIXES)
+        kinds = features(w)
+        for d in range(len(w)):
+            cols, n = np.unique(np.concatenate([k[w.first[d] : w.first[d + 1]] for k in kinds]), return_counts=True)
+            out.append(np.unique(np.concatenate([cols, again(cols[n >= 2])])))
     return out
 
 
@@ -177,12 +178,14 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], confirmed: l
 
 def score_batch(text: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     """The model's probability for each text; equals the sum over columns_of(text), columns without weight passed over."""
-    ends = buffers(text)[1]
-    if ends[-1] - ends[0] > 8 << 20 and len(text) > 1:
-        return np.concatenate([score_batch(text.slice(lo, hi - lo), weight, bias) for lo, hi in slices(ends)])
-    w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
     used = weight != 0
     used |= used[again(np.arange(1 << BITS))]
+    return np.concatenate([np.zeros(0), *(_scores(text.slice(lo, hi - lo), weight, used, bias) for lo, hi in slices(buffers(text)[1]))])
+
+
+def _scores(text: pa.Array, weight: np.ndarray, used: np.ndarray, bias: float) -> np.ndarray:
+    """score_batch for few texts; used: columns with weight, and those that may lead to one."""
+    w = Words(text, SPACE_WORDS, prefixes=PREFIXES)
     doc, cols = [], []
     for k in features(w):
         at = np.flatnonzero(used[k])
